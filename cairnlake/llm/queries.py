@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.plain import plain, plain_source, plain_source_id, usable_position
 from ..plans import places
 from ..session import table
-from . import components, leaks, survivors, tokens
+from . import components, leaks, matching, survivors, tokens
 
 #: Where vocabulary files lie; a parameter, never copied.
 TOKENIZERS = os.environ.get("CAIRNLAKE_TOKENIZERS", "/opt/tokenizers")
@@ -45,6 +45,21 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return s.select("group_id", "poi_key", "members", F.col("row.source").alias("source"), F.col("type_row.known_type").alias("poi_type"), F.col("name_row.name").alias("name"), F.col("confidence_row.confidence").alias("confidence"), F.col("place_row.latitude").alias("latitude"), F.col("place_row.longitude").alias("longitude"))
 
 
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    records = matching.described(places.current_places(spark, d), "poi_key", "source", "name", "known_type", "confidence", "latitude", "longitude")
+    groups = table(spark, d, "poi_groups").select(plain(F.col("group_id")).alias("group_id"), plain(F.col("poi_key")).alias("poi_key"))
+    return matching.matched(records, groups, "group_id", "poi_key")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).where("confidence >= 0.5").select(F.col("id_l").alias("poi_key_a"), F.col("id_r").alias("poi_key_b"))
+
+
+def p3_scored(spark: SparkSession, d: str) -> DataFrame:
+    """All candidate pairs with their distance and calibrated confidence."""
+    return _matches(spark, d).select(F.col("id_l").alias("poi_key_a"), F.col("id_r").alias("poi_key_b"), F.round("metres", 1).alias("metres"), F.round("confidence", 4).alias("confidence"))
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "poi_pairs").where(plain(F.col("verdict")) == "match")
     known = table(spark, d, "dim_pois").select(plain_source(F.col("source")).alias("s"), plain_source_id(F.col("source_id")).alias("i"), plain(F.col("poi_key")).alias("k")).distinct()
@@ -91,7 +106,7 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p5_found, p5_sizes, p8_ids, p8_lengths, p9_found, p9_passages)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_scored, p5_found, p5_sizes, p8_ids, p8_lengths, p9_found, p9_passages)}
 
 _S = places._SQL_SOURCE
 _I = places._SQL_SOURCE_ID
