@@ -39,24 +39,28 @@ def cells_around(lat: Column, lon: Column, reach_m: float) -> Column:
     return F.array(*[c for step in (-1, 0, 1) for c in row_cells(step)])
 
 
-def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius_m: float, hot: int = 4096) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius_m: float, hot: int = 4096, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (id_l, id_r, metres) of a left and a right point at most ``radius_m`` apart by haversine.
 
     Both frames have their id and the columns ``lat`` and ``lon``; points with a null or NaN position take no part. The
     right side, which should be the smaller, is written into its own cell and the eight around it; the left side only
     into its own, so a pair meets exactly once. A cell with more than ``hot`` left points is split: its left points are
     spread over shares by a hash of their id and its right points are copied to every share, so one crowded place is
-    worked on by many tasks and nothing is dropped. Repeated ids with equal positions give repeated pairs.
+    worked on by many tasks and nothing is dropped. Repeated ids with equal positions give repeated pairs. Points must
+    also agree in the columns ``by`` (null agrees with nothing); ``carry`` columns of both come out as c_l and c_r.
     """
     ok = f"{lat} is not null and {lon} is not null and not isnan({lat}) and not isnan({lon})"
     reach = radius_m * (1 + 1e-9)
-    a = left.where(ok).select(F.col(left_id).alias("id_l"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), cells_of(F.col(lat), F.col(lon), reach).alias("_cell"))
-    b = right.where(ok).select(F.col(right_id).alias("id_r"), F.col(lat).alias("_ra"), F.col(lon).alias("_ro"), F.explode(cells_around(F.col(lat), F.col(lon), reach)).alias("_cell"))
-    crowded = a.groupBy("_cell").count().where(F.col("count") > hot).select("_cell", F.ceil(F.col("count") / hot).cast("int").alias("_shares"))
-    a = a.join(crowded, "_cell", "left").withColumn("_share", F.pmod(F.xxhash64("id_l"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
-    b = b.join(crowded, "_cell", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    packed = [F.struct(*[F.col(c) for c in carry])] if carry else []
+    a = left.where(ok).select(F.col(left_id).alias("id_l"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), *by, *[c.alias("c_l") for c in packed], cells_of(F.col(lat), F.col(lon), reach).alias("_cell"))
+    b = right.where(ok).select(F.col(right_id).alias("id_r"), F.col(lat).alias("_ra"), F.col(lon).alias("_ro"), *by, *[c.alias("c_r") for c in packed], F.explode(cells_around(F.col(lat), F.col(lon), reach)).alias("_cell"))
+    block = [*by, "_cell"]
+    crowded = a.groupBy(*block).count().where(F.col("count") > hot).select(*block, F.ceil(F.col("count") / hot).cast("int").alias("_shares"))
+    a = a.join(crowded, block, "left").withColumn("_share", F.pmod(F.xxhash64("id_l"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+    b = b.join(crowded, block, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
     far = geo.haversine_m(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))
-    return a.join(b, ["_cell", "_share"]).select("id_l", "id_r", far.alias("metres")).where(F.col("metres") <= radius_m)
+    met = a.join(b, [*block, "_share"])
+    return met.select("id_l", "id_r", far.alias("metres"), *by, *(["c_l", "c_r"] if carry else [])).where(F.col("metres") <= radius_m)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius_m: float) -> DataFrame:
