@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.plain import plain, plain_source, plain_source_id, usable_position
 from ..plans import places
 from ..session import table
-from . import components, leaks, matching, survivors, tokens
+from . import abuse, components, leaks, matching, survivors, tokens
 
 #: Where vocabulary files lie; a parameter, never copied.
 TOKENIZERS = os.environ.get("CAIRNLAKE_TOKENIZERS", "/opt/tokenizers")
@@ -106,7 +106,28 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_scored, p5_found, p5_sizes, p8_ids, p8_lengths, p9_found, p9_passages)}
+#: Documents of at least this score are reported.
+ABUSE_SCORE = 0.3
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels"), "doc_id", "text", "label")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where(F.col("score") >= ABUSE_SCORE).select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, abusive documents and their share by source in plain form."""
+    scores = _scores(spark, d).groupBy("doc_id").agg(F.max("score").alias("score"))
+    docs = table(spark, d, "documents").select("doc_id", plain_source(F.col("source")).alias("source"))
+    bad = F.coalesce((F.col("score") >= ABUSE_SCORE).cast("long"), F.lit(0))
+    rates = docs.join(scores, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(bad).alias("n_abusive"))
+    return rates.withColumn("rate", F.round(F.col("n_abusive") / F.col("n_documents"), 6))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_scored, p5_found, p5_sizes, p8_ids, p8_lengths, p9_found, p9_passages, p10_found, p10_rates)}
 
 _S = places._SQL_SOURCE
 _I = places._SQL_SOURCE_ID
