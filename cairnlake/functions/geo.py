@@ -128,7 +128,7 @@ def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def albers_inverse(x: Column, y: Column) -> tuple[Column, Column]:
-    """Metres back to degrees; the latitude by the series in the authalic latitude, which is good to 1e-9 degrees."""
+    """Metres back to degrees; the latitude by the series in the authalic latitude, which is good to 1e-7 degrees, a centimetre."""
     a, e, n, c, rho0 = _albers_constants()
     dy = F.lit(rho0) - y
     q = (F.lit(c) - (x * x + dy * dy) * (n * n / (a * a))) / n
