@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; it outlives any executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table written to the shared folder; it outlives any executor.
+
+    Unlike a checkpoint it carries no partitioning of the plan before (which, in a loop of self-joins, grows with every
+    round until planning never ends), and its size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
