@@ -23,7 +23,7 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 BITS, RANK = 18, 8
 
 _INVISIBLE = re.compile("[­᠎​-‏‪-‮⁠-⁤︀-️﻿]")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*·]){2,}[^\W\d_](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .\-_*·])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 _BETWEEN = re.compile(r"[ .\-_*·]")
 _SEGMENT = re.compile(r"(?<=[.!?…。！？])[\"”’)*_]*\s+|\n+|<[^>]{1,40}>")
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$!#%&+|]+[^\W_]+)*")
@@ -235,6 +235,6 @@ def scored(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str,
                 if rows:
                     flat, starts = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
                     np.maximum.at(best, np.array(owner), model.margin(flat, starts))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(best, -700, 50))))], [doc, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(np.isneginf(best), 0.0, 1 / (1 + np.exp(-np.clip(best, -50, 50)))))], [doc, "score"])
 
     return docs.select(doc, text).mapInArrow(run, f"{doc} {docs.schema[doc].dataType.simpleString()}, score double")

@@ -52,23 +52,28 @@ def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, str | Non
     return reached, tagged.where("_ia is null or _ib is null").select(*_ordered(a, b)).distinct(), least
 
 
-def propagate(edges: DataFrame, jumps: int = 2) -> DataFrame:
+def _to_roots(point: DataFrame) -> DataFrame:
+    """Follow pointers (v, root) to their ends by doubling: as many joins as the logarithm of the longest path, and one."""
+    point = cut(point)
+    while True:
+        on = point.select(F.col("v").alias("root"), F.col("root").alias("_next"))
+        point = cut(point.select("v", "root").join(on, "root").select("v", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("moved")))
+        if point.where("moved").isEmpty():
+            return point.select("v", "root")
+
+
+def propagate(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of the edges, root the least vertex of its component.
 
-    Each round points every vertex to the least of itself and its neighbours, doubles the pointers ``jumps`` times,
+    Each round points every vertex to the least of itself and its neighbours, follows the pointers to their ends,
     replaces the ends of all edges by what they point to and drops loops and repeats. Only local minima survive, at
-    most half of the vertices, so the rounds grow with the logarithm of the longest chain. Aggregates are combined on
-    the map side; each round's tables are cut by a checkpoint in the shared folder.
+    most half of the vertices, so rounds and joins grow with the logarithm of the longest chain, in whatever order its
+    keys stand. Aggregates are combined on the map side; each step is cut by a table in the shared folder.
     """
     steps: list[DataFrame] = []
     edges = cut(edges)
     while not edges.isEmpty():
-        point = _both_ways(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root"))
-        for _ in range(jumps):
-            point = cut(point)
-            on = point.select(F.col("v").alias("root"), F.col("root").alias("_next"))
-            point = point.join(on, "root").select("v", F.col("_next").alias("root"))
-        point = cut(point)
+        point = _to_roots(_both_ways(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")))
         steps.append(point)
         ends = edges.join(point.select(F.col("v").alias("a"), F.col("root").alias("_ra")), "a").join(point.select(F.col("v").alias("b"), F.col("root").alias("_rb")), "b")
         edges = cut(ends.where("_ra <> _rb").select(*_ordered(F.col("_ra"), F.col("_rb"))).distinct())
