@@ -28,7 +28,7 @@ def duck():
 
 
 def _plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, float):
         return str(int(v)) if v.is_integer() else str(round(v, 6))
