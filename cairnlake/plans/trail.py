@@ -80,9 +80,10 @@ def w20_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def w21_axis(spark: SparkSession, d: str) -> DataFrame:
     """Running mile over the reporters' notes as vertices of parts, no step across parts."""
-    rows = table(spark, d, "field_notes").dropDuplicates(["id"]).where("lat is not null and lon is not null and poi_id is null").select(F.col("reporter_id").alias("part"), "id", "lat", "lon")
+    rows = table(spark, d, "field_notes").dropDuplicates(["id"]).where("lat is not null and lon is not null").select(F.col("reporter_id").alias("part"), "id", "lat", "lon")
     w = Window.partitionBy("part").orderBy("id")
-    step = geo.haversine_ft(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
+    before = F.lag("lat").over(w)  # asked for, as least() in the haversine makes half the globe of a null
+    step = F.when(before.isNotNull(), geo.haversine_ft(before, F.lag("lon").over(w), F.col("lat"), F.col("lon")))
     return S.cumulative_miles(rows.withColumn("ft", step), "part", "id", F.col("ft")).select("id", F.round("mile", 4).alias("mile"))
 
 
