@@ -1,11 +1,14 @@
 """Queries do the whole job: every row of their tables takes part, against brute force on small fixtures."""
 
+import datetime
 import math
 
 import pytest
 
 from cairnlake.plans import trail
 
+from .conftest import SMALL
+
 
 @pytest.fixture
 def data(spark, tmp_path):
@@ -37,3 +40,31 @@ def test_axis_steps_over_all_vertices(spark, data):
             expected[key], before = mile, (lat, lon)
     got = {r["id"]: r["mile"] for r in trail.w21_axis(spark, d).collect()}
     assert len(expected) == 9 and got == pytest.approx(expected, abs=1e-4)
+
+
+@pytest.fixture
+def walks(data):
+    """Four events of each of 60 users: a climb of 10 and one of 20 levels; the last event is a sign-up."""
+    rows = [(u * 4 + i, datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=i), u, "signup" if i == 3 else "view", v) for u in range(60) for i, v in enumerate((10.0, 11.0, 9.0, 11.0))]
+    return data(events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double"))
+
+
+def test_reversed_has_all_users(spark, walks):
+    got = {(r["user_id"], r["event_id"]): (r["part_start"], r["step"]) for r in trail.w13_reversed(spark, walks).collect()}
+    assert got == {(u, u * 4 + i): (i == 2, 4 - i) for u in range(60) for i in range(4)}
+
+
+def test_walking_days_of_all_users(spark, walks):
+    got = {r["event_id"]: r["walking_day"] for r in trail.w33_walking_days(spark, walks).collect()}
+    assert got == {u * 4 + i: n for u in range(60) for i, n in enumerate((1, 2, 2, 3))}
+
+
+def test_sweep_sums_all_users(spark, walks):
+    got = {r["threshold"]: r["gain"] for r in trail.a42_sweep(spark, walks).collect()}
+    assert got == {t: 60 * 30.0 for t in (0.0, 1.0, 2.0, 3.0, 4.0, 6.0, 10.0)}
+
+
+@pytest.mark.parametrize("name, of_twin", [("w13_reversed", "user_id % 7 = 0"), ("w33_walking_days", "event_id in (select event_id from events where user_id % 5 = 0)")])
+def test_same_as_sql_where_the_twin_looks(spark, duck, same_rows, name, of_twin):
+    spark.read.parquet(f"{SMALL}/events.parquet").createOrReplaceTempView("events")
+    same_rows(trail.QUERIES[name](spark, SMALL).where(of_twin), duck.sql(trail.SQL[name]).df())
