@@ -153,7 +153,11 @@ def dp1_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dp2_exact(spark: SparkSession, d: str) -> DataFrame:
-    stops = table(spark, d, "part").where("p_partkey < 1000").select((F.col("p_partkey") % 20).alias("hike"), (F.floor(F.col("p_partkey") / 20) * 5 + F.col("p_size") % 5).cast("double").alias("mile"), (F.col("p_size") % 2 == 0).alias("camp"))
+    """Twenty days for each hike; all parts lie along one trail, cut by key into hikes of equal length with at most fifty stops."""
+    k, part = F.col("p_partkey"), table(spark, d, "part")
+    keys = part.agg((F.max("p_partkey") + 1).alias("n")).select("n", F.ceil(F.col("n") / 50).alias("hikes"))
+    hike = F.expr("p_partkey * hikes div n")
+    stops = part.crossJoin(F.broadcast(keys)).select(hike.alias("hike"), (k * 5 + F.col("p_size") % 5).cast("double").alias("mile"), (F.col("p_size") % 2 == 0).alias("camp"))
     return planning.planned_days(stops.groupBy("hike", "mile").agg(F.max("camp").alias("camp")), "hike", "mile", "camp", 0.0, days=20)
 
 

@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from cairnlake.plans import trail
+from cairnlake.plans import lines, trail
 
 from .conftest import SMALL
 
@@ -68,3 +68,17 @@ def test_sweep_sums_all_users(spark, walks):
 def test_same_as_sql_where_the_twin_looks(spark, duck, same_rows, name, of_twin):
     spark.read.parquet(f"{SMALL}/events.parquet").createOrReplaceTempView("events")
     same_rows(trail.QUERIES[name](spark, SMALL).where(of_twin), duck.sql(trail.SQL[name]).df())
+
+
+@pytest.mark.parametrize("n", [60, 2003])
+def test_exact_days_reach_every_stop(spark, data, n):
+    d = data(part=([(k, k * 7 % 50) for k in range(n)], "p_partkey long, p_size int"))
+    days = lines.dp2_exact(spark, d).toPandas().sort_values(["hike", "day"])
+    hikes = -(-n // 50)
+    assert (days.groupby("hike")["day"].count() == 20).all() and days["hike"].nunique() == hikes
+    ends = days.groupby("hike").agg(first=("from_mile", "min"), last=("to_mile", "max"))
+    miles = [k * 5 + k * 7 % 50 % 5 for k in range(n)]
+    stops = [[m for k, m in enumerate(miles) if k * hikes // n == h] for h in range(hikes)]
+    assert max(map(len, stops)) <= 50 and sum(map(len, stops)) == n
+    assert list(zip(ends["first"], ends["last"])) == [(s[0], s[-1]) for s in stops]
+    assert (days["to_mile"] - days["from_mile"]).max() <= 25
