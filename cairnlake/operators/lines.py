@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut
 
 
 def segments(vertices: DataFrame, line: str, order: str, x: str, y: str) -> DataFrame:
@@ -110,6 +111,34 @@ def simplified(vertices: DataFrame, line: str, order: str, x: str, y: str, toler
     return vertices.select(line, order, x, y).groupBy(line).applyInPandas(one, kinds)
 
 
+def _to_ends(point: DataFrame) -> DataFrame:
+    """Follow the pointers (key, block) to their ends by doubling."""
+    point = cut(point)
+    while True:
+        on = point.select(F.col("key").alias("block"), F.col("block").alias("_next"))
+        point = cut(point.select("key", "block").join(on, "block").select("key", F.col("_next").alias("block"), (F.col("_next") != F.col("block")).alias("_moved")))
+        if point.where("_moved").isEmpty():
+            return point.select("key", "block")
+
+
+def linked_blocks(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(key, block) of every key of the pairs, block the least key linked to it over any number of pairs.
+
+    Each round points every key to the least of itself and its neighbours, follows the pointers to their ends and joins
+    the ends by the pairs that are left, until there are none; pairs are read both ways, and a key paired with itself
+    alone is its own block.
+    """
+    both = F.inline(F.array(F.struct(F.col(a).alias("_a"), F.col(b).alias("_b")), F.struct(F.col(b).alias("_a"), F.col(a).alias("_b"))))
+    edges = cut(pairs.select(both).distinct())
+    out = None
+    while not edges.isEmpty():
+        point = _to_ends(edges.groupBy("_a").agg(F.min("_b").alias("_m")).select(F.col("_a").alias("key"), F.least("_a", "_m").alias("block")))
+        end = lambda c, n: point.select(F.col("key").alias(c), F.col("block").alias(n))  # noqa: B023, E731
+        out = point if out is None else out.join(end("block", "_next"), "block", "left").select("key", F.coalesce("_next", "block").alias("block"))
+        edges = cut(edges.join(end("_a", "_ea"), "_a").join(end("_b", "_eb"), "_b").where("_ea <> _eb").select(F.col("_ea").alias("_a"), F.col("_eb").alias("_b")).distinct())
+    return edges.select(F.col("_a").alias("key"), F.col("_b").alias("block")) if out is None else out
+
+
 def greedy_clusters(points: DataFrame, block: str, key: str, rank: str, lat: str, lon: str, reach_m: float) -> DataFrame:
     """(key, head): points taken in order of rank, latitude, longitude and key join the first head within reach, or become one.
 

@@ -84,9 +84,7 @@ def w35_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Greedy clusters of water within 50 m, surveyed sources first, replayed in blocks of linked records."""
     p = current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude")) & (F.col("known_type") == "water"))
     pairs = cut(nearby.pairs_within(p, p, "poi_key", "poi_key", "latitude", "longitude", 60.0).select("id_l", "id_r"))
-    block = pairs.groupBy(F.col("id_l").alias("poi_key")).agg(F.min("id_r").alias("near"))
-    hop = lambda b: b.join(pairs.select(F.col("id_l").alias("poi_key"), F.col("id_r").alias("other")), "poi_key").join(b.select(F.col("poi_key").alias("other"), F.col("near").alias("n2")), "other").groupBy("poi_key").agg(F.min("n2").alias("near"))
-    block = hop(hop(hop(block)))
+    block = L.linked_blocks(pairs, "id_l", "id_r").select(F.col("key").alias("poi_key"), F.col("block").alias("near"))
     rows = p.join(block, "poi_key").withColumn("rank", F.when(F.col("source") == "osm_water", 1).otherwise(0))
     return L.greedy_clusters(rows, "near", "poi_key", "rank", "latitude", "longitude", 50.0)
 

@@ -2,9 +2,11 @@
 
 import datetime
 import math
+import random
 
 import pytest
 
+from cairnlake.operators import lines as operators
 from cairnlake.plans import lines, trail
 
 from .conftest import SMALL
@@ -82,3 +84,24 @@ def test_exact_days_reach_every_stop(spark, data, n):
     assert max(map(len, stops)) <= 50 and sum(map(len, stops)) == n
     assert list(zip(ends["first"], ends["last"])) == [(s[0], s[-1]) for s in stops]
     assert (days["to_mile"] - days["from_mile"]).max() <= 25
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_water_in_a_long_chain_is_clustered_as_a_whole(spark, data, seed):
+    order = random.Random(seed).sample(range(40), 40)
+    step = 40 / 111132.0
+    rows = [(f"k{order[i]:02}", "osm_water", f"{i}", None, "water", None, -80.0, 40.0 + i * step, datetime.datetime(2026, 1, 1)) for i in range(40)]
+    d = data(dim_pois=(rows, "poi_key string, source string, source_id string, name string, poi_type string, confidence string, longitude double, latitude double, loaded_at timestamp"))
+    got = {r["poi_key"]: r["head"] for r in lines.w35_clusters(spark, d).collect()}
+    assert got == {f"k{order[i]:02}": f"k{order[i - i % 2]:02}" for i in range(40)}
+
+
+def test_linked_blocks_are_components(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(500 + (i * 37) % 100, 500 + ((i + 1) * 37) % 100) for i in range(99)] + [(999, 999)]
+    least = {k: k for p in pairs for k in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = operators.linked_blocks(spark.createDataFrame(pairs, "a int, b int"), "a", "b").collect()
+    assert len(got) == len(least) and {r["key"]: r["block"] for r in got} == least
