@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import base_name, normal_name
+from ..session import cut
 from . import nearby
 
 #: Fixed values of the evidence score.
@@ -45,16 +46,20 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     return out.where((F.col("score") >= ACCEPT) & clear("old") & clear("new")).select("old", "new", "score")
 
 
-def successors(ledger: DataFrame, key: str, retired: str, superseded_by: str, doublings: int = 7) -> DataFrame:
+def successors(ledger: DataFrame, key: str, retired: str, superseded_by: str) -> DataFrame:
     """(key, live): the live id every id stands for today; null for dead ends, unknown successors and cycles.
 
-    Pointers are doubled, so ``doublings`` joins follow chains of up to 2^doublings steps; a cycle never lands on a live row.
+    Pointers are doubled until none moves; a chain has no more steps than the ledger has rows, so cycles, which never
+    land on a live row, end there too.
     """
-    hop = ledger.select(F.col(key).alias("_k"), F.when(F.coalesce(F.col(retired), F.lit(False)), F.col(superseded_by)).otherwise(F.col(key)).alias("_to"))
-    for _ in range(doublings):
-        hop = hop.join(hop.select(F.col("_k").alias("_to"), F.col("_to").alias("_next")), "_to", "left").select("_k", F.col("_next").alias("_to"))
+    hop = cut(ledger.select(F.col(key).alias("_k"), F.when(F.coalesce(F.col(retired), F.lit(False)), F.col(superseded_by)).otherwise(F.col(key)).alias("_to")))
+    for _ in range(hop.count().bit_length()):
+        after = hop.select("_k", "_to").join(hop.select(F.col("_k").alias("_to"), F.col("_to").alias("_next")), "_to", "left")
+        hop = cut(after.select("_k", F.col("_next").alias("_to"), (~F.col("_next").eqNullSafe(F.col("_to"))).alias("_moved")))
+        if hop.where("_moved").isEmpty():
+            break
     alive = ledger.where(~F.coalesce(F.col(retired), F.lit(False))).select(F.col(key).alias("_to"), F.lit(True).alias("_alive"))
-    out = hop.join(alive, "_to", "left")
+    out = hop.select("_k", "_to").join(alive, "_to", "left")
     return out.select(F.col("_k").alias(key), F.when(F.col("_alive"), F.col("_to")).alias("live"))
 
 

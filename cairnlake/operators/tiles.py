@@ -26,13 +26,14 @@ def tiles_of_bounds(df: DataFrame, west: Column, south: Column, east: Column, no
 def owners(tiles: DataFrame, cells: DataFrame, key: list[str], cx: str, cy: str) -> DataFrame:
     """The one cell that owns each tile: the one whose half-open box holds its centre, else the nearest, the lower index on ties.
 
-    The cells are a fixed grid of at most some hundred one-degree squares, which is why each tile may look at all.
+    The cells are a fixed grid of at most some hundred one-degree squares, which is why each tile may look at all; any
+    number of them is looked at.
     """
     inside = (F.col(cx) >= F.col("west")) & (F.col(cx) < F.col("east")) & (F.col(cy) >= F.col("south")) & (F.col(cy) < F.col("north"))
     dx = F.greatest(F.col("west") - F.col(cx), F.col(cx) - F.col("east"), F.lit(0.0))
     dy = F.greatest(F.col("south") - F.col(cy), F.col(cy) - F.col("north"), F.lit(0.0))
     rank = F.struct((~inside).cast("int"), dx * dx + dy * dy, "cell")
-    return tiles.join(F.broadcast(cells.limit(10_000)), F.lit(True)).groupBy(*key).agg(F.min_by("cell", rank).alias("cell"))
+    return tiles.join(F.broadcast(cells), F.lit(True)).groupBy(*key).agg(F.min_by("cell", rank).alias("cell"))
 
 
 def floored_blue(blue: Column, unit: int) -> Column:

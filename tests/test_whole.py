@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from cairnlake.operators import identity, tiles
 from cairnlake.operators import lines as operators
 from cairnlake.plans import lines, trail
 
@@ -105,3 +106,15 @@ def test_linked_blocks_are_components(spark):
             least[a] = least[b] = min(least[a], least[b])
     got = operators.linked_blocks(spark.createDataFrame(pairs, "a int, b int"), "a", "b").collect()
     assert len(got) == len(least) and {r["key"]: r["block"] for r in got} == least
+
+
+def test_owner_among_more_than_ten_thousand_cells(spark):
+    cells = spark.range(0, 10_400, 1, 1).selectExpr("id as cell", "double(id) as west", "id + 1.0D as east", "0.0D as south", "1.0D as north")
+    points = spark.range(0, 10_400, 100).selectExpr("id as tile", "id + 0.5D as x", "0.5D as y")
+    assert tiles.owners(points, cells, ["tile"], "x", "y").where("tile <> cell").count() == 0
+
+
+def test_successors_of_long_chains_and_odd_cycles(spark):
+    rows = [(i, i < 300, i + 1) for i in range(301)] + [(1000, True, 1001), (1001, True, 1002), (1002, True, 1000)]
+    got = identity.successors(spark.createDataFrame(rows, "id int, retired boolean, superseded_by int"), "id", "retired", "superseded_by").collect()
+    assert {r["id"]: r["live"] for r in got} == {i: 300 if i < 1000 else None for i, _, _ in rows}
