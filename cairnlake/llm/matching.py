@@ -101,9 +101,8 @@ NAME_REACH_M = 400.0
 def candidates(rows: DataFrame, reach_m: float = REACH_M, name_reach_m: float = NAME_REACH_M, bands: int = 4, rows_per_band: int = 3) -> DataFrame:
     """Candidate pairs (id_l, id_r, metres, c_l, c_r) of records of different sources, each once, the smaller key left.
 
-    Blocks are made from several attributes. Position and kind: the grid cell and those around it (the one-element
-    shingle sets for which MinHash is the identity), so all records of a kind within ``reach_m`` meet, whatever their
-    names. Name and position: bands of MinHash over the three-letter shingles of the name, in a wider grid, so like
+    Blocks are made from several attributes. Position and kind: the grid cell and those around it, without MinHash, so
+    all records of a kind within ``reach_m`` meet, whatever their names. Name and position: bands of MinHash over the three-letter shingles of the name, in a wider grid, so like
     names meet up to ``name_reach_m``. A record of unknown kind is written into the blocks of every kind. Crowded
     blocks are split, not cut off.
     """
@@ -115,9 +114,9 @@ def candidates(rows: DataFrame, reach_m: float = REACH_M, name_reach_m: float =
     near = nearby.pairs_within(keyed, keyed, "key", "key", "lat", "lon", reach_m, by=("_kind",), carry=carry).where(differ)
     once = F.col("c_l.kind").isNotNull() | F.col("c_r.kind").isNotNull() | (F.col("_kind") == "?")
     near = near.where(once).drop("_kind")  # two records of unknown kind meet in every block; only one counts
-    banded = rows.where("kind is not null and base <> ''").withColumn("_band", F.explode(minhash(_shingles(F.col("base")), bands, rows_per_band)))
-    like = nearby.pairs_within(banded, banded, "key", "key", "lat", "lon", name_reach_m, by=("kind", "_band"), carry=carry).where(differ & (F.col("metres") > reach_m))
-    like = like.drop("kind", "_band").dropDuplicates(["id_l", "id_r"])
+    banded = keyed.where("base <> ''").withColumn("_band", F.explode(minhash(_shingles(F.col("base")), bands, rows_per_band)))
+    like = nearby.pairs_within(banded, banded, "key", "key", "lat", "lon", name_reach_m, by=("_kind", "_band"), carry=carry).where(differ & (F.col("metres") > reach_m))
+    like = like.drop("_kind", "_band").dropDuplicates(["id_l", "id_r"])
     return near.unionByName(like)
 
 
