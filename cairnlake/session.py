@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,11 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of this machine where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without and gets one of its machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"cairnlake-shared-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -43,13 +47,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def own_folder(spark: SparkSession, stem: str) -> str:
+    """A new folder in the shared one, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+    files, at = _file_system(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a folder; false if there is none."""
+    files, at = _file_system(spark, path)
+    return bool(files.exists(at)) and bool(files.rename(at, spark._jvm.org.apache.hadoop.fs.Path(to)))
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the plans run inside; keys have __ for the dot."""
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table written to the shared folder; it outlives any executor.
+    """Cut the lineage with a table written to the shared folder; it outlives any executor and goes when the driver ends.
 
     Unlike a checkpoint it carries no partitioning of the plan before (which, in a loop of self-joins, grows with every
     round until planning never ends), and its size is known to the planner.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = own_folder(spark, "cut")
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
