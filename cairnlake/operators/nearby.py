@@ -14,29 +14,36 @@ def _rows(lat: Column, height: float) -> Column:
     return F.floor(lat / height).cast("long")
 
 
-def _width(row: Column, height: float, reach_m: float) -> Column:
-    """Degrees of longitude of a cell in a row: at least the reach at any latitude of the row and of the rows beside it."""
-    edge = F.least(F.greatest(F.abs((row - 1) * height), F.abs((row + 2) * height)), F.lit(89.0))
-    return F.lit(math.degrees(reach_m / geo.EARTH_M)) / F.cos(F.radians(edge))
+def _columns(row: Column, height: float, reach_m: float) -> Column:
+    """How many cells go round the globe in a row: each at least as wide as the reach at any latitude of the row and of
+    the rows beside it; one where these touch the last degree before a pole."""
+    edge = F.greatest(F.abs((row - 1) * height), F.abs((row + 2) * height))
+    least = F.lit(math.degrees(reach_m / geo.EARTH_M)) / F.cos(F.radians(F.least(edge, F.lit(89.0))))
+    return F.when(edge >= 89.0, F.lit(1).cast("long")).otherwise(F.greatest(F.floor(360.0 / least), F.lit(1)))
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    return F.pmod(F.floor((lon + 180.0) * columns / 360.0).cast("long"), columns)
 
 
 def cells_of(lat: Column, lon: Column, reach_m: float) -> Column:
-    """The cell of a point, struct (row, col): cells are at least ``reach_m`` high and wide."""
+    """The cell of a point, struct (row, col): cells are at least ``reach_m`` high and wide and close round the globe."""
     height = math.degrees(reach_m / geo.EARTH_M)
     row = _rows(lat, height)
-    return F.struct(row.alias("row"), F.floor(lon / _width(row, height, reach_m)).cast("long").alias("col"))
+    return F.struct(row.alias("row"), _column(lon, _columns(row, height, reach_m)).alias("col"))
 
 
 def cells_around(lat: Column, lon: Column, reach_m: float) -> Column:
-    """All cells that can hold a point within ``reach_m``: three rows, each with its own width, three cells a row."""
+    """All cells that can hold a point within ``reach_m``: three rows, each with its own columns, three cells a row, also over the 180th meridian."""
     height = math.degrees(reach_m / geo.EARTH_M)
 
     def row_cells(step: int) -> list[Column]:
         row = _rows(lat, height) + step
-        col = F.floor(lon / _width(row, height, reach_m)).cast("long")
-        return [F.struct(row.alias("row"), (col + d).alias("col")) for d in (-1, 0, 1)]
+        columns = _columns(row, height, reach_m)
+        col = _column(lon, columns)
+        return [F.struct(row.alias("row"), F.pmod(col + d, columns).alias("col")) for d in (-1, 0, 1)]
 
-    return F.array(*[c for step in (-1, 0, 1) for c in row_cells(step)])
+    return F.array_distinct(F.array(*[c for step in (-1, 0, 1) for c in row_cells(step)]))
 
 
 def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius_m: float, hot: int = 4096, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -44,10 +51,11 @@ def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
     Both frames have their id and the columns ``lat`` and ``lon``; points with a null or NaN position take no part. The
     right side, which should be the smaller, is written into its own cell and the eight around it; the left side only
-    into its own, so a pair meets exactly once. A cell with more than ``hot`` left points is split: its left points are
-    spread over shares by a hash of their id and its right points are copied to every share, so one crowded place is
-    worked on by many tasks and nothing is dropped. Repeated ids with equal positions give repeated pairs. Points must
-    also agree in the columns ``by`` (null agrees with nothing); ``carry`` columns of both come out as c_l and c_r.
+    into its own, so a pair meets exactly once, also across the 180th meridian. A cell with more than ``hot`` points of
+    either side is split into a grid of tasks: each side is spread over shares by a hash of its id and copied to the
+    shares of the other, so one crowded place, on whichever side, is worked on by many tasks and nothing is dropped.
+    Repeated ids with equal positions give repeated pairs. Points must also agree in the columns ``by`` (null agrees
+    with nothing); ``carry`` columns of both come out as c_l and c_r.
     """
     ok = f"{lat} is not null and {lon} is not null and not isnan({lat}) and not isnan({lon})"
     reach = radius_m * (1 + 1e-9)
@@ -55,11 +63,19 @@ def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     a = left.where(ok).select(F.col(left_id).alias("id_l"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), *by, *[c.alias("c_l") for c in packed], cells_of(F.col(lat), F.col(lon), reach).alias("_cell"))
     b = right.where(ok).select(F.col(right_id).alias("id_r"), F.col(lat).alias("_ra"), F.col(lon).alias("_ro"), *by, *[c.alias("c_r") for c in packed], F.explode(cells_around(F.col(lat), F.col(lon), reach)).alias("_cell"))
     block = [*by, "_cell"]
-    crowded = a.groupBy(*block).count().where(F.col("count") > hot).select(*block, F.ceil(F.col("count") / hot).cast("int").alias("_shares"))
-    a = a.join(crowded, block, "left").withColumn("_share", F.pmod(F.xxhash64("id_l"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
-    b = b.join(crowded, block, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    one, none = F.lit(1), F.lit(0)
+    filled = a.select(*block, one.alias("_a"), none.alias("_b")).unionByName(b.select(*block, none.alias("_a"), one.alias("_b"))).groupBy(*block).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    shares = lambda c: F.greatest(F.ceil(F.col(c) / hot), F.lit(1)).cast("int")
+    crowded = filled.where(f"_a > {hot} or _b > {hot}").select(*block, shares("_a").alias("_na"), shares("_b").alias("_nb"))
+
+    def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.coalesce(own, one)).cast("int").alias(f"_s{own}")
+        each = F.explode(F.sequence(none, F.coalesce(other, one) - 1)).alias(f"_s{other}")
+        return df.join(crowded, block, "left").select(*df.columns, mine, each)
+
+    a, b = spread(a, "id_l", "_na", "_nb"), spread(b, "id_r", "_nb", "_na")
     far = geo.haversine_m(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))
-    met = a.join(b, [*block, "_share"])
+    met = a.join(b, [*block, "_s_na", "_s_nb"])
     return met.select("id_l", "id_r", far.alias("metres"), *by, *(["c_l", "c_r"] if carry else [])).where(F.col("metres") <= radius_m)
 
 
