@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.plain import POI_TYPES, known_type, plain, plain_source, plain_source_id, usable_position
 from ..operators import history, nearby, profile, snapshots
-from ..session import table
+from ..session import cut, table
 
 WORDS = {"poi_type": POI_TYPES}
 RANGES = {"latitude": (-90.0, 90.0), "longitude": (-180.0, 180.0)}
@@ -88,7 +88,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _profiled(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "poi_snapshots").select(F.col("load_no").cast("int").alias("load_no"), *WORDS, *RANGES)
-    return profile.mask_dictionary(profile.cells(df, ["load_no"], WORDS, RANGES), "load_no")
+    return cut(profile.mask_dictionary(profile.cells(df, ["load_no"], WORDS, RANGES), "load_no"))
 
 
 def p7_profile(spark: SparkSession, d: str) -> DataFrame:
