@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,14 +76,24 @@ def drops(current: DataFrame, baseline: DataFrame, key: str, n: str, most: float
     return j.where(F.col("before") > 0).select(key, "before", after.alias("after"), ((F.col("before") - after) / F.col("before") > most).alias("dropped"))
 
 
-def next_with_suffix(taken: DataFrame, column: str, stem: str, most: int) -> DataFrame:
-    """One row: the stem if free, else the stem with the first free suffix from 2 on."""
-    wanted = taken.sparkSession.range(1, most + 1).select("id", F.when(F.col("id") == 1, F.lit(stem)).otherwise(F.concat(F.lit(stem + "-"), F.col("id").cast("string"))).alias(column))
-    return wanted.join(taken.select(column), column, "left_anti").agg(F.min_by(column, "id").alias(column))
+def next_with_suffix(taken: DataFrame, column: str, stem: str) -> DataFrame:
+    """One row: the stem if free, else the stem with the first free suffix from 2 on, however many are taken.
+
+    Suffixes in use are numbered in order; the first that is not its own number leaves a gap before it.
+    """
+    number = F.when(F.col(column) == stem, F.lit(1)).otherwise(F.regexp_extract(F.col(column), "^" + re.escape(stem) + "-([1-9][0-9]*)$", 1).try_cast("long"))
+    used = taken.select(number.alias("_n")).where("_n >= 1").distinct()
+    ends = used.select((F.col("_n") + 1).alias("_n")).unionByName(taken.sparkSession.range(1, 2).select(F.col("id").alias("_n"))).join(used, "_n", "left_anti")
+    first = ends.agg(F.min("_n").alias("_n"))
+    return first.select(F.when(F.col("_n") == 1, F.lit(stem)).otherwise(F.concat(F.lit(stem + "-"), F.col("_n").cast("string"))).alias(column))
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, seed: int, n: int) -> DataFrame:
-    """Deterministic sample, taken from the strata in turn. Sampling is the feature."""
+    """Deterministic sample, taken from the strata in turn. Sampling is the feature.
+
+    No more than ``n`` rows of a stratum can be taken; each map task cuts its own to so many before the shuffle, so a
+    large stratum is no hot partition.
+    """
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
-    ranked = df.withColumn("_h", h).withColumn("round", F.row_number().over(Window.partitionBy(stratum).orderBy("_h")))
+    ranked = df.withColumn("_h", h).withColumn("round", F.row_number().over(Window.partitionBy(stratum).orderBy("_h"))).where(F.col("round") <= n)
     return ranked.orderBy("round", stratum).limit(n).drop("_h")

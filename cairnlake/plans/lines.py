@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..functions import geo
 from ..functions.plain import usable_position
 from ..operators import lines as L
 from ..operators import nearby, planning, tiles
-from ..session import cut, shared_folder, table
+from ..session import cut, own_folder, table
 from ..sources import geojson
 from ..streaming import walks
 from .places import current_places
@@ -177,39 +175,27 @@ def snk01_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select("f.properties.poi_key", "f.properties.known_type", F.get("f.geometry.coordinates", F.lit(0)).alias("longitude"), F.get("f.geometry.coordinates", F.lit(1)).alias("latitude"))
 
 
-def _checkpoint(spark: SparkSession, d: str, name: str) -> str:
-    import time
-
-    return f"{shared_folder(spark)}/stream-{name}-{hashlib.md5(f'{d}{time.time_ns()}'.encode()).hexdigest()[:12]}"
-
-
-def _replay(spark: SparkSession, d: str, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    from uuid import uuid4
-
-    return walks.run_to_table(stream, f"cairnlake_{name}_{uuid4().hex[:8]}", mode, _checkpoint(spark, d, name))
-
-
 def st_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Events by day and type as a stream with a watermark, run to the end."""
+    """Events by day and type as a stream with a watermark, run to the end; of a window the newest count holds."""
     s = walks.windowed_counts(walks.read_stream(spark, f"{d}/events.parquet"), "ts", "event_type", "1 day", "1 hour")
-    return _replay(spark, d, s, "windows", "complete").select(F.to_date("start").alias("day"), "event_type", "n")
+    return walks.run_to_table(s, own_folder(spark, "stream"), ["start", "event_type"]).select(F.to_date("start").alias("day"), "event_type", "n")
 
 
 def st08_once(spark: SparkSession, d: str) -> DataFrame:
     """Resent notes once, as a stream; by reporter type."""
     s = walks.first_seen(walks.read_stream(spark, f"{d}/field_notes.parquet", 100), "id", "posted_at", "3650 days")
-    return _replay(spark, d, s, "once", "append").groupBy("reporter_type").agg(F.count(F.lit(1)).alias("n"))
+    return walks.run_to_table(s, own_folder(spark, "stream")).groupBy("reporter_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def st02_stream(spark: SparkSession, d: str) -> DataFrame:
     """Direction with hysteresis as keyed state; equal to the batch fold."""
     s = walks.directions(walks.read_stream(spark, f"{d}/events.parquet", 1000), "user_id", "ts", "value", 40.0)
-    return _replay(spark, d, s, "ways", "update")
+    return walks.run_to_table(s, own_folder(spark, "stream"), ["user_id"])
 
 
 def st01_stream(spark: SparkSession, d: str) -> DataFrame:
     e = walks.read_stream(spark, f"{d}/events.parquet", 1000).withColumn("off", F.col("value") > 20)
-    out = _replay(spark, d, walks.alerts(e, "user_id", "ts", "off", 12 * 3600.0, 25 * 3600.0), "alerts", "append")
+    out = walks.run_to_table(walks.alerts(e, "user_id", "ts", "off", 12 * 3600.0, 25 * 3600.0), own_folder(spark, "stream"))
     return out.groupBy("alert").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -266,7 +266,7 @@ def d06_stamps(spark: SparkSession, d: str) -> DataFrame:
 
 def d07_next_id(spark: SparkSession, d: str) -> DataFrame:
     taken = table(spark, d, "poi_snapshots").select(F.when(F.col("load_no") == 1, "2026-06-01").otherwise(F.concat(F.lit("2026-06-01-"), F.col("load_no").cast("string"))).alias("release")).distinct()
-    return tables.next_with_suffix(taken, "release", "2026-06-01", 100)
+    return tables.next_with_suffix(taken, "release", "2026-06-01")
 
 
 QUERIES = {f.__name__: f for f in (prj01_staged, prj13_keys, prj14_unified, prj16_rejected, s01_union, s05_overlay, s06_lost, flt01_gate, j01_mapped, j06_measured, j10_semi, j19_deduped_water, j20_lookup, j24_pairs, j25_evidence, j30_difference, j39_resolved, j40_successors, j47_orphans, m01_resolved, m02_applied, m05_reconciled, m07_refusal, m08_tombstones, w36_sites, a38_roster, q01_data_tests, q02_unique, q03_accepted, q04_reconciled, q07_drops, q16_row_problems, k01_search, k11_sample, sca01_names, sca12_stripped, sca15_compass, d06_stamps, d07_next_id)}

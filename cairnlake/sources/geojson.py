@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import discard, rename
+
 POINT = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.DoubleType()))])
 FEATURE = T.StructType([T.StructField("type", T.StringType()), T.StructField("id", T.StringType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("geometry", POINT)])
 COLLECTION = T.StructType([T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(FEATURE))])
@@ -65,10 +68,15 @@ def poly_text(ring: Column, name: Column) -> Column:
 
 
 def poly_rings(text: Column) -> Column:
-    """Corners (structs x, y) of the first ring of a polygon file."""
-    lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"^\s+[-+0-9.E]+\s+[-+0-9.E]+\s*$"))
-    parts = F.transform(lines, lambda s: F.split(F.trim(s), r"\s+"))
-    return F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y")))
+    """Rings of a polygon file: an array with one array of corners (structs x, y) for each, in order.
+
+    A ring is a heading and the corner lines up to its END. Rings whose heading starts with an exclamation mark are
+    holes; they come out like the others, as the even-odd rule asks for.
+    """
+    row = r"[ \t]+[-+0-9.eE]+[ \t]+[-+0-9.eE]+[ \t]*\r?\n"
+    blocks = F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(r"(?m)^\S[^\n]*\n((?:" + row + r")+)END"), 1)
+    corner = lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y"))
+    return F.transform(blocks, lambda b: F.transform(F.filter(F.split(b, r"\r?\n"), lambda s: F.trim(s) != ""), lambda s: corner(F.split(F.trim(s), r"[ \t]+"))))
 
 
 def profile_samples(text: Column) -> Column:
@@ -78,11 +86,22 @@ def profile_samples(text: Column) -> Column:
 
 
 def guarded_write(df: DataFrame, path: str, previous: int, floor: int = 40, share: float = 0.5) -> int:
-    """Write only what holds up: at least ``floor`` rows and at least ``share`` of the previous count; else nothing is replaced."""
-    n = df.count()
+    """Write only what holds up: at least ``floor`` rows and at least ``share`` of the previous count; else nothing is replaced.
+
+    The rows are computed once, into a new folder beside the old one, and counted there; then the folders are renamed,
+    so a reader sees the old rows or the new ones and a failed run leaves the old.
+    """
+    spark = df.sparkSession
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    n = spark.read.schema(df.schema).parquet(new).count()
     if n < floor or n < previous * share:
+        discard(spark, new)
         raise ValueError(f"refused: {n} rows, {previous} before")
-    df.write.mode("overwrite").parquet(path)
+    moved = rename(spark, path, old)
+    rename(spark, new, path)
+    if moved:
+        discard(spark, old)
     return n
 
 

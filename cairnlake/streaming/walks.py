@@ -70,8 +70,21 @@ def alerts(samples: DataFrame, who: str, at: str, off: str, cue_s: float, push_s
     return samples.select(who, F.col(at).cast("timestamp").alias(at), off).groupBy(who).applyInPandasWithState(step, f"{who} {kind}, {at} timestamp, alert string", "since double", "append", "NoTimeout")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run what is there now to the end and give the result as a table. For tests and small replays."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, folder: str, last_of: list[str] | None = None) -> DataFrame:
+    """Run what is there now to the end and give the result as a table written in ``folder``, batch by batch.
+
+    Nothing is collected. A batch that is run again after a failure overwrites its own rows. With ``last_of`` the rows
+    are updates of these keys and the one of the latest batch counts; else they are all rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("update" if last_of else "append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    rows = stream.sparkSession.read.schema(f"{schema}, batch long").parquet(f"{folder}/rows")
+    if not last_of:
+        return rows.drop("batch")
+    newest = rows.groupBy(*last_of).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in last_of]), "batch").alias("_v"))
+    return newest.select(*last_of, "_v.*")

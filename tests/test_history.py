@@ -91,12 +91,34 @@ def test_snapshot_changes_of_nothing(spark):
     assert changes(spark, [("s", "a", 4, 1.0, 1.0, 1)]) == []
 
 
-def test_snapshot_plan_has_no_second_exchange_for_the_merge(spark):
-    df = spark.createDataFrame([("s", "a", 1, 1.0, 1.0, 1)], "source string, sid string, load int, lat double, lon double, at long")
-    out = snapshots.snapshot_changes(df, {"source": F.col("source"), "sid": F.col("sid")}, "load", {"lat": 1e-6}, ["at"], partitions=4)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("rangepartitioning") == 1 and plan.index("Window") < plan.index("rangepartitioning")
-    assert "hashpartitioning" not in plan[plan.index("Window") : plan.index("rangepartitioning")]
+def test_kept_snapshots_are_merged_where_they_lie(spark):
+    from cairnlake.session import settings
+
+    df = spark.createDataFrame([("s", f"k{i % 50:02}", i // 50 + 1, 1.0, 1.0, 1) for i in range(150)], "source string, sid string, load int, lat double, lon double, at long")
+    kept = snapshots.keep_snapshots(df, {"source": F.col("source"), "sid": F.col("sid")}, "load", ["lat"], ["at"], ranges=4)
+    files = {r["f"]: (r["lo"], r["hi"]) for r in spark.table(kept).groupBy(F.input_file_name().alias("f")).agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).collect()}
+    spans = sorted(files.values())
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    with settings(spark, **snapshots.IN_RANGES):
+        plan = snapshots.merged_loads(spark, kept, ["source", "sid"], "load", [1e-6])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert snapshots.changes_of_kept(spark, kept, ["source", "sid"], "load", [1e-6]).count() == 0
+
+
+def test_snapshot_changes_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [("s", f"k{rng.randrange(40)}", rng.randrange(1, 6), rng.choice([None, 1.0, 2.0]), rng.choice([None, 1.0]), i) for i in range(300)]
+    last: dict = {}
+    for s, k, load, la, lo, at in rows:
+        if at >= last.get((load, k), (-1,))[0]:
+            last[load, k] = (at, la, lo)
+    want = []
+    for load in range(2, 6):
+        for k in {k for _, k in last}:
+            a, b = last.get((load - 1, k)), last.get((load, k))
+            kind = "added" if b and not a else "removed" if a and not b else "changed" if a and b and a[1:] != b[1:] else None
+            want += [(load, "s", k, kind)] if kind else []
+    assert changes(spark, rows) == sorted(want)
 
 
 WORDS, RANGES = {"t": ("ab", "cde")}, {"v": (-90.0, 90.0)}
@@ -117,6 +139,29 @@ def test_findings(spark):
     assert (2, "v", "null_shift", "") not in got
 
 
+def test_bad_values_come_through_patterns(spark):
+    """A bad word of a dominant mask, a bad number of a dominant mask and one of a rare mask; no suspect patterns, no findings."""
+    rows = [(1, f"k{i}", "ab" if i else "zz", 10.0 + i % 80, "m", 1) for i in range(200)] + [(1, "x", "cde", 95.0, "m", 1), (1, "y", "cde", 1000.0, "m", 1), (1, "z", "CDE", -7.0, "m", 1)]
+    assert findings(spark, rows) == [(1, "t", "bad_value", "k0"), (1, "t", "bad_value", "z"), (1, "v", "bad_value", "x"), (1, "v", "bad_value", "y")]
+    df = spark.createDataFrame(rows, "load int, key string, t string, v double, mask string, n int")
+    cell = profile.cells(df.select("load", "key", "t", "v"), ["load", "key"], WORDS, RANGES)
+    patterns = profile.mined_patterns(profile.mask_dictionary(cell, "load"), 0.05)
+    assert {(r["mask"], r["word"], r["state"]) for r in patterns.where("suspect and field = 't'").collect()} == {("aa", None, "broken"), ("aaa", "cde", "clean"), ("AAA", None, "broken")}
+    assert profile.violations(cell, patterns.where("mask = 'none'"), ["key"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_share_moves_further_than_the_patterns(spark, seed):
+    rng = random.Random(seed)
+    rows = [(load, "k", rng.choice(["ab", "cde", "zz", None][: rng.randrange(1, 5)]), None, "m", 1) for load in (1, 2, 4) for _ in range(30)]
+    df = spark.createDataFrame(rows, "load int, key string, t string, v double, mask string, n int")
+    counted = profile.mask_dictionary(profile.cells(df, ["load"], WORDS, RANGES), "load")
+    apart = {(r["load"], r["field"]): (r["of_all"], r["of_values"]) for r in profile.pattern_divergence(counted, "load").collect()}
+    assert set(apart) == {(2, "t"), (2, "v")} and apart[2, "v"] == (0.0, None)
+    share = lambda load, v: sum(r[2] == v for r in rows if r[0] == load) / 30
+    assert apart[2, "t"][0] == pytest.approx(sum(abs(share(1, v) - share(2, v)) for v in ("ab", "cde", "zz", None)) / 2)
+
+
 def test_no_findings_in_empty_table(spark):
     assert findings(spark, []) == []
 

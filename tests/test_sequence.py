@@ -163,8 +163,11 @@ def test_geojson_round_trip(spark, tmp_path):
 
 def test_text_sources(spark, tmp_path):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.5, 2.0), (3.0, 4.25), (0.0, 9.0))])
-    back = spark.range(1).select(geojson.poly_rings(geojson.poly_text(ring, F.lit("r"))).alias("p")).first()["p"]
+    back = spark.range(1).select(geojson.poly_rings(geojson.poly_text(ring, F.lit("r"))).alias("p")).first()["p"][0]
     assert [(p.x, p.y) for p in back] == [(1.5, 2.0), (3.0, 4.25), (0.0, 9.0)]
+    several = "area\n1\n   1.0E+00   2.0\n   3.0   4.0\nEND\n!2\n   5.0   6.0\nEND\nEND\n"
+    rings = spark.range(1).select(geojson.poly_rings(F.lit(several)).alias("p")).first()["p"]
+    assert [[(p.x, p.y) for p in r] for r in rings] == [[(1.0, 2.0), (3.0, 4.0)], [(5.0, 6.0)]]
     (tmp_path / "s.tsv").write_text("z\tx\tlayer\n1\t2\twater\n1\t3\t \n")
     assert geojson.read_stats(spark, str(tmp_path / "s.tsv"), ["z", "layer"]).count() == 1
     with pytest.raises(ValueError):
@@ -173,7 +176,12 @@ def test_text_sources(spark, tmp_path):
     assert spark.range(1).select(geojson.html_rows(F.lit(page))).first()[0] == [["a 1", "2"]]
     with pytest.raises(ValueError):
         geojson.guarded_write(spark.range(50), str(tmp_path / "w"), 200)
+    assert not list(tmp_path.glob("w*"))
     assert geojson.guarded_write(spark.range(50), str(tmp_path / "w"), 90) == 50
+    with pytest.raises(ValueError):
+        geojson.guarded_write(spark.range(10), str(tmp_path / "w"), 50)
+    assert geojson.guarded_write(spark.read.parquet(str(tmp_path / "w")).where("id < 45"), str(tmp_path / "w"), 50) == 45  # reads what it replaces
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 45 and [p.name for p in tmp_path.glob("w*")] == ["w"]
 
 
 def test_stream_equals_batch(spark):

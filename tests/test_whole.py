@@ -6,12 +6,10 @@ import random
 
 import pytest
 
-from cairnlake.operators import identity, tiles
+from cairnlake.operators import identity, nearby, tables, tiles
 from cairnlake.operators import lines as operators
 from cairnlake.plans import lines, trail
 
-from .conftest import SMALL
-
 
 @pytest.fixture
 def data(spark, tmp_path):
@@ -67,12 +65,6 @@ def test_sweep_sums_all_users(spark, walks):
     assert got == {t: 60 * 30.0 for t in (0.0, 1.0, 2.0, 3.0, 4.0, 6.0, 10.0)}
 
 
-@pytest.mark.parametrize("name, of_twin", [("w13_reversed", "user_id % 7 = 0"), ("w33_walking_days", "event_id in (select event_id from events where user_id % 5 = 0)")])
-def test_same_as_sql_where_the_twin_looks(spark, duck, same_rows, name, of_twin):
-    spark.read.parquet(f"{SMALL}/events.parquet").createOrReplaceTempView("events")
-    same_rows(trail.QUERIES[name](spark, SMALL).where(of_twin), duck.sql(trail.SQL[name]).df())
-
-
 @pytest.mark.parametrize("n", [60, 2003])
 def test_exact_days_reach_every_stop(spark, data, n):
     d = data(part=([(k, k * 7 % 50) for k in range(n)], "p_partkey long, p_size int"))
@@ -118,3 +110,27 @@ def test_successors_of_long_chains_and_odd_cycles(spark):
     rows = [(i, i < 300, i + 1) for i in range(301)] + [(1000, True, 1001), (1001, True, 1002), (1002, True, 1000)]
     got = identity.successors(spark.createDataFrame(rows, "id int, retired boolean, superseded_by int"), "id", "retired", "superseded_by").collect()
     assert {r["id"]: r["live"] for r in got} == {i: 300 if i < 1000 else None for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("taken, want", [([], "r"), (["r-2", "r-x", "r-02"], "r"), (["r", "r-3"], "r-2"), (["r", *(f"r-{i}" for i in range(2, 500))], "r-500")])
+def test_next_suffix_however_many_are_taken(spark, taken, want):
+    df = spark.createDataFrame([(t,) for t in taken], "release string")
+    assert tables.next_with_suffix(df, "release", "r").collect() == [(want,)]
+
+
+@pytest.mark.parametrize("sides", [(60, 5), (5, 60), (60, 60)])
+def test_crowded_cells_are_split_on_either_side(spark, sides):
+    rng = random.Random(9)
+    a, b = ([(f"{n}{i}", 40.0 + rng.random() / 500, -75.0 + rng.random() / 500) for i in range(k)] for n, k in zip("ab", sides))
+    schema = "k string, lat double, lon double"
+    got = sorted(tuple(r)[:2] for r in nearby.pairs_within(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "k", "k", "lat", "lon", 90.0, hot=8).collect())
+    assert got == sorted((x[0], y[0]) for x in a for y in b if _feet(x[1:], y[1:]) <= 90.0 / 6371008.8 * 20902231.0)
+
+
+def test_pairs_across_the_date_line_and_near_poles(spark):
+    rng = random.Random(4)
+    rows = [(f"k{i}", rng.choice([0.0, 52.0, 89.4, 89.995, -89.99]) + rng.random() / 200, rng.choice([179.99, -180.0, 180.0, -179.995, 0.0, 90.0]) + rng.random() / 400) for i in range(150)]
+    rows = [(k, min(la, 90.0), lo if lo <= 180 else lo - 360) for k, la, lo in rows]
+    df = spark.createDataFrame(rows, "k string, lat double, lon double")
+    got = [tuple(r)[:2] for r in nearby.pairs_within(df, df, "k", "k", "lat", "lon", 900.0).collect()]
+    assert sorted(got) == sorted((x[0], y[0]) for x in rows for y in rows if _feet(x[1:], y[1:]) <= 900.0 / 6371008.8 * 20902231.0)
