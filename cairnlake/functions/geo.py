@@ -20,7 +20,7 @@ def _haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: f
     s1 = F.sin((F.radians(lat2) - F.radians(lat1)) / 2)
     s2 = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     h = s1 * s1 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s2 * s2
-    return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * radius)
+    return F.asin(F.when(h > 1.0, F.lit(1.0)).otherwise(F.sqrt(h))) * (2 * radius)  # a null stays null, which least() would not let it
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

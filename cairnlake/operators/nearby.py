@@ -46,6 +46,25 @@ def cells_around(lat: Column, lon: Column, reach_m: float) -> Column:
     return F.array_distinct(F.array(*[c for step in (-1, 0, 1) for c in row_cells(step)]))
 
 
+def join_blocks(a: DataFrame, b: DataFrame, block: list[str], a_id: str, b_id: str, hot: int = 4096) -> DataFrame:
+    """Join of two frames on their block columns, in which no crowded block is one task.
+
+    A block with more than ``hot`` rows of either side is split into a grid of tasks: each side is spread over shares by
+    a hash of its id and copied to the shares of the other. Every pair of the block meets once, as in the plain join.
+    """
+    one, none = F.lit(1), F.lit(0)
+    filled = a.select(*block, one.alias("_a"), none.alias("_b")).unionByName(b.select(*block, none.alias("_a"), one.alias("_b"))).groupBy(*block).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    shares = lambda c: F.greatest(F.ceil(F.col(c) / hot), F.lit(1)).cast("int")
+    crowded = filled.where(f"_a > {hot} or _b > {hot}").select(*block, shares("_a").alias("_na"), shares("_b").alias("_nb"))
+
+    def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.coalesce(own, one)).cast("int").alias(f"_s{own}")
+        each = F.explode(F.sequence(none, F.coalesce(other, one) - 1)).alias(f"_s{other}")
+        return df.join(crowded, block, "left").select(*df.columns, mine, each)
+
+    return spread(a, a_id, "_na", "_nb").join(spread(b, b_id, "_nb", "_na"), [*block, "_s_na", "_s_nb"]).drop("_s_na", "_s_nb")
+
+
 def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius_m: float, hot: int = 4096, by: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (id_l, id_r, metres) of a left and a right point at most ``radius_m`` apart by haversine.
 
@@ -62,20 +81,8 @@ def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     packed = [F.struct(*[F.col(c) for c in carry])] if carry else []
     a = left.where(ok).select(F.col(left_id).alias("id_l"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), *by, *[c.alias("c_l") for c in packed], cells_of(F.col(lat), F.col(lon), reach).alias("_cell"))
     b = right.where(ok).select(F.col(right_id).alias("id_r"), F.col(lat).alias("_ra"), F.col(lon).alias("_ro"), *by, *[c.alias("c_r") for c in packed], F.explode(cells_around(F.col(lat), F.col(lon), reach)).alias("_cell"))
-    block = [*by, "_cell"]
-    one, none = F.lit(1), F.lit(0)
-    filled = a.select(*block, one.alias("_a"), none.alias("_b")).unionByName(b.select(*block, none.alias("_a"), one.alias("_b"))).groupBy(*block).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    shares = lambda c: F.greatest(F.ceil(F.col(c) / hot), F.lit(1)).cast("int")
-    crowded = filled.where(f"_a > {hot} or _b > {hot}").select(*block, shares("_a").alias("_na"), shares("_b").alias("_nb"))
-
-    def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(key), F.coalesce(own, one)).cast("int").alias(f"_s{own}")
-        each = F.explode(F.sequence(none, F.coalesce(other, one) - 1)).alias(f"_s{other}")
-        return df.join(crowded, block, "left").select(*df.columns, mine, each)
-
-    a, b = spread(a, "id_l", "_na", "_nb"), spread(b, "id_r", "_nb", "_na")
+    met = join_blocks(a, b, [*by, "_cell"], "id_l", "id_r", hot)
     far = geo.haversine_m(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))
-    met = a.join(b, [*block, "_s_na", "_s_nb"])
     return met.select("id_l", "id_r", far.alias("metres"), *by, *(["c_l", "c_r"] if carry else [])).where(F.col("metres") <= radius_m)
 
 

@@ -82,8 +82,7 @@ def w21_axis(spark: SparkSession, d: str) -> DataFrame:
     """Running mile over the reporters' notes as vertices of parts, no step across parts."""
     rows = table(spark, d, "field_notes").dropDuplicates(["id"]).where("lat is not null and lon is not null").select(F.col("reporter_id").alias("part"), "id", "lat", "lon")
     w = Window.partitionBy("part").orderBy("id")
-    before = F.lag("lat").over(w)  # asked for, as least() in the haversine makes half the globe of a null
-    step = F.when(before.isNotNull(), geo.haversine_ft(before, F.lag("lon").over(w), F.col("lat"), F.col("lon")))
+    step = geo.haversine_ft(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     return S.cumulative_miles(rows.withColumn("ft", step), "part", "id", F.col("ft")).select("id", F.round("mile", 4).alias("mile"))
 
 
@@ -282,20 +281,20 @@ SQL = {
     "w04_pinned": f"""{_RUNS} select reporter_id, case when "start" = min("start") over w then 0.0 else "start" end as "start", case when "end" = max("end") over w then 2200.0 else "end" end as "end" from r window w as (partition by reporter_id)""",
     "w10_raw_ascent": _RAW.format("case when level is not null and p is not null then level - p end", "ascent"),
     "w12_descent": _RAW.format("case when level is not null and p is not null then p - level end", "descent"),
-    "w13_reversed": f"with {_E} select user_id, event_id, coalesce(lag(part_start) over w, false) as part_start, row_number() over w as step from e where user_id % 7 = 0 window w as (partition by user_id order by event_id desc)",
+    "w13_reversed": f"with {_E} select user_id, event_id, coalesce(lag(part_start) over w, false) as part_start, row_number() over w as step from e window w as (partition by user_id order by event_id desc)",
     "w14_merged": f"with {_MERGED} select * from m",
     "w16_gaps": f"""with {_GAPS} select * from gap where "end" - "start" >= 0.2""",
     "w18_left": f"""with {_GAPS}, x as (select user_id, "end" - "start" as l from gap where "end" > "start") select user_id, sum(case when l >= 10 then l else 0 end) as gap_miles, sum(case when l < 10 then l else 0 end) as sliver_miles, count(*) filter (l >= 10) as n_gaps from x group by 1""",
     "w19_clipped": f"""with {_MERGED} select user_id, greatest("start", 100) as "start", least("end", 200) as "end" from m where least("end", 200) > greatest("start", 100)""",
     "w20_overlap": f"""with {_MERGED} select user_id, sum(greatest(0, least("end", 200) - greatest("start", 100))) as miles from m group by 1""",
-    "w21_axis": f"""with n as (select distinct * from field_notes where lat is not null and lon is not null and poi_id is null), p as (select reporter_id, id, lat, lon, lag(lat) over w as pa, lag(lon) over w as po from n window w as (partition by reporter_id order by id))
-select id, round(sum(coalesce({_HAV.format(r="20902231.0")}, 0)) over (order by reporter_id, id) / 5280.0, 4) as mile from p""",
+    "w21_axis": f"""with n as (select distinct * from field_notes where lat is not null and lon is not null), p as (select reporter_id, id, lat, lon, lag(lat) over w as pa, lag(lon) over w as po from n window w as (partition by reporter_id order by id))
+select id, round(sum(case when pa is null then 0 else {_HAV.format(r="20902231.0")} end) over (order by reporter_id, id) / 5280.0, 4) as mile from p""",
     "w23_interpolated": "select * from (select event_id, round((value + lead(value) over (partition by user_id order by ts, event_id)) / 2, 4) as half from events) where half is not null",
     "w27_rising": "select user_id, event_id, value from (select *, max(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as h from events) where h is null or value > h",
     "w28_implausible": f"with {_E} select * from (select user_id, event_id, lead(level) over w - level as delta, lead(part_start) over w as seam from e window w as (partition by user_id order by ts, event_id)) where abs(delta) > 400",
     "w31_sections": """with f as (select *, coalesce(case when lag(event_type) over (partition by user_id order by ts, event_id) = 'purchase' then 1 else case when lag(event_type) over (partition by user_id order by ts, event_id) is null then 1 else 0 end end, 1) as b from events),
 s as (select *, sum(b) over (partition by user_id order by ts, event_id rows unbounded preceding) as section from f) select user_id, cast(section as bigint) as section, min(event_id) as first_id, max(event_id) as last_id, count(*) as n from s group by 1, 2""",
-    "w33_walking_days": "select event_id, walking_day from (select event_id, user_id, cast(sum((value >= 10)::int) over (partition by user_id order by ts, event_id) as bigint) as walking_day from events) where user_id % 5 = 0",
+    "w33_walking_days": "select event_id, cast(sum((value >= 10)::int) over (partition by user_id order by ts, event_id) as bigint) as walking_day from events",
     "w34_leading": "with n as (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events) select user_id, coalesce(min(case when event_type = 'error' then rn end) - 1, count(*)) as leading from n group by 1",
     "w37_previous": "select load_no, lag(snapshot_date::varchar) over (order by load_no) as previous from (select distinct load_no, snapshot_date from poi_snapshots)",
     "st01_divergence": """with f as (select *, value > 20 as off, case when (value > 20) is distinct from lag(value > 20) over (partition by user_id order by ts, event_id) then 1 else 0 end as b from events),
@@ -309,7 +308,7 @@ select event_id, case when h >= 25 then 'push' when h >= 12 then 'cue' else 'sil
     "a22_envelope": f"with {_E}, b as (select *, least(199, cast(floor(event_id % 5000 / 5000.0 * 200) as bigint)) as bucket from e where level is not null), r as (select *, row_number() over (partition by bucket order by level, event_id) as lo, row_number() over (partition by bucket order by level desc, event_id) as hi from b) select bucket, event_id from r where lo = 1 or hi = 1",
     "a32_totals": f"with {_E} select user_id, round(sum(value), 3) as miles, round(coalesce(sum(level), 0), 3) as ascent, round(coalesce(sum(value * 1.609344 / 5.0 * 60.0 + level * 0.3048 / 600.0 * 60.0), 0), 2) as minutes from e group by 1",
     "a41_part_miles": f"""with n as (select distinct * from field_notes where lat is not null and lon is not null), p as (select reporter_id, lat, lon, lag(lat) over w as pa, lag(lon) over w as po from n window w as (partition by reporter_id order by observed_at, id))
-select reporter_id, round(coalesce(sum({_HAV.format(r="6371008.8")}), 0) / 1609.344, 3) as miles from p group by 1""",
+select reporter_id, round(coalesce(sum(case when pa is not null then {_HAV.format(r="6371008.8")} end), 0) / 1609.344, 3) as miles from p group by 1""",
     "a43_rising_total": f"with {_E} select user_id, sum(greatest(delta, 0)) as rise from (select user_id, lead(level) over w - level as delta from e window w as (partition by user_id order by ts, event_id)) where abs(delta) > 400 group by 1",
     "n01_minutes": """with p as (select *, p_size::double as miles, p_size * 1.609344 / 5.0 * 60.0 + p_retailprice * 0.3048 / 600.0 * 60.0 as standard, p_size / 2.5 * 60.0 + p_retailprice * 0.3048 / 900.0 * 60.0 + p_size * 10.0 * 0.3048 / 1000.0 * 5.0 as own, p_size / 6.0 as rough, pow(10, floor(log10(p_size / 6.0))) as u from part)
 select p_partkey, round(standard, 4) as standard, round(own, 4) as own, round(own / standard, 5) as ratio, round(p_retailprice / greatest(miles * 100, 1), 6) as grade, miles * 100 < 10 or p_retailprice / greatest(miles * 100, 1) <= 0.15 as passes,
