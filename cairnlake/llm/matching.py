@@ -79,45 +79,129 @@ def described(records: DataFrame, key: str, source: str, name: str, kind: str, c
     return rows.select("key", "source", F.coalesce("_n.kind", "_usual", sure).alias("kind"), F.col("_n.base").alias("base"), F.col("_n.sorted").alias("sorted"), F.col("_n.part").alias("part"), F.col("_at.lat").alias("lat"), F.col("_at.lon").alias("lon"))
 
 
-def _shingles(text: Column, n: int = 3) -> Column:
-    padded = F.concat(F.lit("^"), text, F.lit("$"))
-    return F.when(F.length(text) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: padded.substr(i, F.lit(n)))))
+def _mix(x, seed: int):
+    """64-bit mixing of an array of integers (uint64), one function for every seed."""
+    import numpy as np
+
+    x = (x ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def place_tokens(lat, lon, radius_m: float, side_m: float):
+    """Cells of a grid whose middle lies within the radius of each point: tokens (points x cells, uint64) and which of them count.
 
+    Points a distance apart share the cells of the lens in which their circles overlap, so the Jaccard similarity of
+    their token sets falls from 1 at one place to 0 at two radii. Cells stop at the 180th meridian.
+    """
+    import numpy as np
+
+    high = math.degrees(side_m / geo.EARTH_M)
+    reach = int(radius_m / side_m) + 1
+    steps = np.arange(-reach, reach + 1)
+    row = np.floor(lat / high).astype(np.int64)[:, None] + steps[None, :]
+    up = (row + 0.5) * high - lat[:, None]
+    wide = high / np.maximum(np.cos(np.radians(np.clip((row + 0.5) * high, -89.9, 89.9))), 1e-3)
+    half = np.sqrt(np.maximum((radius_m / side_m) ** 2 - (up / high) ** 2, 0.0))
+    x = lon[:, None] / wide
+    col = np.floor(x).astype(np.int64)[:, :, None] + steps[None, None, :]
+    inside = (np.abs(col + 0.5 - x[:, :, None]) <= half[:, :, None]) & (np.abs(up / high) <= radius_m / side_m)[:, :, None]
+    token = _mix(row.astype(np.uint64), 1)[:, :, None] ^ col.astype(np.uint64)
+    return token.reshape(len(lat), -1), inside.reshape(len(lat), -1)
+
+
+def name_tokens(names: list[str]):
+    """Three-letter shingles of each name, its ends marked, laid end to end: tokens (uint64) and where each name starts; names must not be empty."""
+    import numpy as np
 
-def minhash(tokens: Column, bands: int, rows: int) -> Column:
-    """Array of band hashes of a set of strings; null for a null set."""
-    out = []
-    for b in range(bands):
-        lows = [F.array_min(F.transform(tokens, lambda t, s=b * rows + r: F.xxhash64(t, F.lit(s)))) for r in range(rows)]
-        out.append(F.xxhash64(F.lit(b), *lows))
-    return F.when(tokens.isNotNull(), F.array(*out))
+    padded = [f"\x02{n}\x03" for n in names]
+    letters = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(p) for p in padded])
+    ends = np.cumsum(sizes)
+    all_ = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:]
+    keep = np.ones(len(all_), bool)
+    keep[ends[:-1] - 1] = keep[ends[:-1] - 2] = False  # those that reach into the next name
+    return all_[keep], np.concatenate([[0], np.cumsum(sizes - 2)[:-1]])
 
 
 #: Records of one place lie within this of each other; names alone may bring records together over this and more.
 REACH_M = 130.0
 NAME_REACH_M = 400.0
 
+#: Blocking: bands of the position, the circle and grid they are taken over, bands of name and wider position.
+PLACE_BANDS, PLACE_RADIUS_M, PLACE_SIDE_M = 8, 320.0, 80.0
+NAME_BANDS, NAME_RADIUS_M, NAME_SIDE_M = 4, 1000.0, 250.0
 
-def candidates(rows: DataFrame, reach_m: float = REACH_M, name_reach_m: float = NAME_REACH_M, bands: int = 4, rows_per_band: int = 3) -> DataFrame:
-    """Candidate pairs (id_l, id_r, metres, c_l, c_r) of records of different sources, each once, the smaller key left.
 
-    Blocks are made from several attributes. Position and kind: the grid cell and those around it, without MinHash, so
-    all records of a kind within ``reach_m`` meet, whatever their names. Name and position: bands of MinHash over the three-letter shingles of the name, in a wider grid, so like
-    names meet up to ``name_reach_m``. A record of unknown kind is written into the blocks of every kind. Crowded
-    blocks are split, not cut off.
+def signatures(lat, lon, names: list[str]):
+    """Band hashes (uint64): of the position (records x PLACE_BANDS), and of name and position together (records x NAME_BANDS, 0 without a name).
+
+    A band of the position is one MinHash of the cells around it. A band of the name is one MinHash of the name's
+    shingles joined with one of the cells of a wider circle. Two records within ``REACH_M`` share at least one band
+    but for a chance of 1 in 10,000 at the very edge of the reach, where the similarity is about 0.6.
+    """
+    import numpy as np
+
+    near, inside = place_tokens(lat, lon, PLACE_RADIUS_M, PLACE_SIDE_M)
+    most = np.uint64(2**64 - 1)
+    place = np.stack([np.where(inside, _mix(near, 100 + b), most).min(1) for b in range(PLACE_BANDS)], 1)
+    name = np.zeros((len(lat), NAME_BANDS), np.uint64)
+    named = np.array([i for i, n in enumerate(names) if n], np.int64)
+    if len(named):
+        far, inside = place_tokens(lat[named], lon[named], NAME_RADIUS_M, NAME_SIDE_M)
+        shingles, starts = name_tokens([names[i] for i in named])
+        for b in range(NAME_BANDS):
+            area = np.where(inside, _mix(far, 200 + b), most).min(1)
+            name[named, b] = _mix(np.minimum.reduceat(_mix(shingles, 300 + b), starts) ^ (area >> np.uint64(1)), 400 + b) | np.uint64(1)
+    return place, name
+
+
+def banded(rows: DataFrame) -> DataFrame:
+    """(num, band, by_name): the bands of every record with num, lat, lon and base; one Arrow pass, vectorised over its batches."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lat, lon = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
+            if not len(lat):
+                continue
+            place, name = signatures(lat, lon, batch.column(3).to_pylist())
+            place = _mix(place + np.arange(PLACE_BANDS, dtype=np.uint64), 500)
+            num = batch.column(0).to_numpy(zero_copy_only=False)
+            who, which = np.nonzero(name)
+            nums = np.concatenate([np.repeat(num, PLACE_BANDS), num[who]])
+            bands = np.concatenate([place.ravel(), name[who, which]]).view(np.int64)
+            by_name = np.concatenate([np.zeros(place.size, bool), np.ones(len(who), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(nums), pa.array(bands), pa.array(by_name)], ["num", "band", "by_name"])
+
+    return rows.select("num", "lat", "lon", "base").mapInArrow(run, "num long, band long, by_name boolean")
+
+
+def candidates(rows: DataFrame, reach_m: float = REACH_M, name_reach_m: float = NAME_REACH_M, hot: int = 2048) -> DataFrame:
+    """Candidate pairs (id_l, id_r, metres, by_name, c_l, c_r) of records of different sources, each once, the smaller key left.
+
+    All blocks are bands of MinHash signatures, over the cells around a position and over the shingles of a name with
+    the cells of a wider area (``signatures``); records must also agree in kind, and one of unknown kind meets those of
+    every kind. Pairs of the first sort of band count up to ``reach_m``, of the second up to ``name_reach_m``. Only
+    numbers and positions go through the join of the blocks; crowded blocks are split over tasks and compared in full,
+    nothing is cut off. Attributes are attached to the pairs that are left.
     """
-    rows = cut(rows)
-    kinds = [*KIND_WORDS, "?"]
-    keyed = rows.withColumn("_kind", F.explode(F.when(F.col("kind").isNull(), F.array(*map(F.lit, kinds))).otherwise(F.array("kind"))))
-    carry = ("source", "kind", "base", "sorted", "part")
-    differ = (F.col("id_l") < F.col("id_r")) & (F.col("c_l.source") != F.col("c_r.source"))
-    near = nearby.pairs_within(keyed, keyed, "key", "key", "lat", "lon", reach_m, by=("_kind",), carry=carry).where(differ)
-    once = F.col("c_l.kind").isNotNull() | F.col("c_r.kind").isNotNull() | (F.col("_kind") == "?")
-    near = near.where(once).drop("_kind")  # two records of unknown kind meet in every block; only one counts
-    banded = keyed.where("base <> ''").withColumn("_band", F.explode(minhash(_shingles(F.col("base")), bands, rows_per_band)))
-    like = nearby.pairs_within(banded, banded, "key", "key", "lat", "lon", name_reach_m, by=("_kind", "_band"), carry=carry).where(differ & (F.col("metres") > reach_m))
-    like = like.drop("_kind", "_band").dropDuplicates(["id_l", "id_r"])
-    return near.unionByName(like)
+    rows = cut(rows.withColumn("num", F.monotonically_increasing_id()))
+    kinds = F.array(*[F.lit(i) for i in range(len(KIND_WORDS) + 1)])
+    code = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KIND_WORDS)])
+    light = rows.select("num", "key", F.xxhash64("source").alias("source"), F.radians("lat").alias("lat"), F.radians("lon").alias("lon"), F.explode(F.when(code.isNull(), kinds).otherwise(F.array(code))).alias("kind"))
+    placed = banded(rows).join(light, "num")
+    side = lambda s: placed.select("band", "kind", "by_name", *[F.col(c).alias(f"{c}_{s}") for c in ("num", "key", "source", "lat", "lon")])
+    met = nearby.join_blocks(side("l"), side("r").drop("by_name"), ["band", "kind"], "num_l", "num_r", hot)
+    s1, s2 = F.sin((F.col("lat_r") - F.col("lat_l")) / 2), F.sin((F.col("lon_r") - F.col("lon_l")) / 2)
+    metres = F.asin(F.least(F.lit(1.0), F.sqrt(s1 * s1 + F.cos("lat_l") * F.cos("lat_r") * s2 * s2))) * (2 * geo.EARTH_M)
+    met = met.where((F.col("key_l") < F.col("key_r")) & (F.col("source_l") != F.col("source_r")))
+    found = met.select("num_l", "num_r", metres.alias("metres"), "by_name").where(F.col("metres") <= F.when(F.col("by_name"), name_reach_m).otherwise(reach_m))
+    pairs = found.groupBy("num_l", "num_r").agg(F.first("metres").alias("metres"), F.min("by_name").alias("by_name"))
+    full = lambda s: rows.select(F.col("num").alias(f"num_{s}"), F.col("key").alias(f"id_{s}"), F.struct("source", "kind", "base", "sorted", "part").alias(f"c_{s}"))
+    return pairs.join(full("l"), "num_l").join(full("r"), "num_r").select("id_l", "id_r", "metres", "by_name", "c_l", "c_r")
 
 
 def _likeness(a: Column, b: Column) -> Column:
@@ -136,6 +220,7 @@ def features(pairs: DataFrame) -> DataFrame:
         "id_l",
         "id_r",
         "metres",
+        "by_name",
         F.col("c_l.source").alias("source_l"),
         F.col("c_r.source").alias("source_r"),
         F.when(named, name).otherwise(0.0).alias("f_name"),
@@ -243,11 +328,11 @@ class Matcher:
 
 
 def matched(records: DataFrame, groups: DataFrame, group: str, key: str, sample: int = 20_000) -> DataFrame:
-    """(id_l, id_r, metres, confidence) of every candidate pair of ``described`` records, the smaller key first.
+    """(id_l, id_r, metres, by_name, confidence) of every candidate pair of ``described`` records, the smaller key first.
 
     Records without a readable position take no part; names and kinds may be null; repeated keys must have been reduced
     before; an empty table gives no pairs.
     """
     pairs = cut(features(candidates(records)))
     model = Matcher.fit(weak_labels(pairs, groups, group, key), sample)
-    return pairs.select("id_l", "id_r", "metres", model.confidence().alias("confidence"))
+    return pairs.select("id_l", "id_r", "metres", "by_name", model.confidence().alias("confidence"))
