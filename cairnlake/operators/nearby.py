@@ -26,11 +26,16 @@ def _column(lon: Column, columns: Column) -> Column:
     return F.pmod(F.floor((lon + 180.0) * columns / 360.0).cast("long"), columns)
 
 
+def _cell(row: Column, col: Column) -> Column:
+    """Row and column as one number; columns of a metre still stay under 32 bits."""
+    return F.shiftleft(row, 32) + col
+
+
 def cells_of(lat: Column, lon: Column, reach_m: float) -> Column:
-    """The cell of a point, struct (row, col): cells are at least ``reach_m`` high and wide and close round the globe."""
+    """The cell of a point as a number: cells are at least ``reach_m`` high and wide and close round the globe."""
     height = math.degrees(reach_m / geo.EARTH_M)
     row = _rows(lat, height)
-    return F.struct(row.alias("row"), _column(lon, _columns(row, height, reach_m)).alias("col"))
+    return _cell(row, _column(lon, _columns(row, height, reach_m)))
 
 
 def cells_around(lat: Column, lon: Column, reach_m: float) -> Column:
@@ -41,7 +46,7 @@ def cells_around(lat: Column, lon: Column, reach_m: float) -> Column:
         row = _rows(lat, height) + step
         columns = _columns(row, height, reach_m)
         col = _column(lon, columns)
-        return [F.struct(row.alias("row"), F.pmod(col + d, columns).alias("col")) for d in (-1, 0, 1)]
+        return [_cell(row, F.pmod(col + d, columns)) for d in (-1, 0, 1)]
 
     return F.array_distinct(F.array(*[c for step in (-1, 0, 1) for c in row_cells(step)]))
 
