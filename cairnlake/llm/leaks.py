@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The test items are a stated set; more text than this is refused rather than shipped to every executor.
 MOST_ITEM_CHARS = 64 << 20
@@ -92,9 +93,11 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc: str, text: str, item
     fewer words than a passage can't leak; null and empty texts give no rows; repeated rows give repeated results.
     """
     spark = docs.sparkSession
-    rows = [tuple(r) for r in items.select(item, *parts).where(f"{item} is not null").toLocalIterator()]
-    if sum(len(t or "") for _, *ts in rows for t in ts) > MOST_ITEM_CHARS:
+    held_out = items.select(item, *parts).where(f"{item} is not null")
+    chars = sum((F.coalesce(F.length(p), F.lit(0)).cast("long") for p in parts), F.lit(16).cast("long"))
+    if (held_out.agg(F.sum(chars)).first()[0] or 0) > MOST_ITEM_CHARS:
         raise ValueError("the held-out set is too large to be shipped")
+    rows = [tuple(r) for r in held_out.collect()]  # bounded by the check above
     shipped = json.dumps(sorted(rows, key=str))
     key = hashlib.sha256(f"{words}{shipped}".encode()).hexdigest()
     sent = spark.sparkContext.broadcast(shipped)

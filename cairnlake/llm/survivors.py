@@ -32,9 +32,11 @@ def survivors(members: DataFrame, group: str, key: str, trust: str, recency: str
 
     ``members`` has one row per group and member. *Order* is trust (low first, null last), then recency (late first,
     null last), then the smallest key. The survivor is the lexicographically first of the skyline over completeness
-    (how many of ``fields`` are present), recency and trust: most complete, then by order. Each field is then supplied
-    by the first member in order that has it: the undominated ones, over trust and recency, among the members that have
-    it, so a null is filled from the layers below wherever the skyline lacks a value. Ties end at the smallest key.
+    (how many of ``fields`` are present), recency and trust: most complete, then by order. Each field is then filled from
+    the successive dominance layers: the first layer that has a value supplies it, by its first member in order. A last
+    check keeps to the stated order: a member of a deeper layer that stands before the supplier in order overrules it
+    (``overruled`` counts the fields of a group for which that happened; a dominated member can be more trusted than an
+    undominated one of another kind). Ties end at the smallest key.
 
     Members are first reduced to the best of each (group, trust, set of present fields): an aggregate with map-side
     combination whose result has at most (trust ranks + 1) x 2^fields rows a group, so a group of any size is safe.
@@ -56,14 +58,23 @@ def survivors(members: DataFrame, group: str, key: str, trust: str, recency: str
     complete = sum((F.col(h).cast("int") for h in has), F.lit(0))
     cell = F.struct("trust", F.col("_best.late").alias("late"), (-complete).alias("lacks"), F.col("_best.key").alias("key"), complete.alias("complete"), (-F.col("_best.late")).alias("recent"), *has, F.col("_best.row").alias("row"))
     grouped = cells.groupBy("_group").agg(F.collect_list(cell).alias("_cells"), F.sum("_n").alias("members")).where(F.col("members") >= least_members)
-    layered = grouped.select("_group", "members", "_cells", _layered(F.col("_cells")).alias("_layers"))
+    layered = grouped.select("_group", "members", _layered(F.col("_cells")).alias("_layers"))
     skyline = F.transform(F.filter("_layers", lambda d: d["layer"] == 1), lambda d: d["cell"])
     chosen = F.array_min(F.transform(skyline, lambda c: F.struct(c["lacks"], c["trust"], c["late"], c["key"], c["row"])))
 
-    def supplier(i: int) -> Column:
-        having = F.filter("_cells", lambda c: c[f"_has{i}"])
-        first = F.filter(having, lambda c: ~F.exists(having, lambda o: (o["trust"] <= c["trust"]) & (o["late"] <= c["late"]) & ((o["trust"] < c["trust"]) | (o["late"] < c["late"]))))
-        return F.array_min(F.transform(first, lambda c: F.struct(c["trust"], c["late"], c["key"], c["row"])))
+    def filled(i: int) -> Column:
+        having = F.filter("_layers", lambda d: d["cell"][f"_has{i}"])
+        return F.array_min(F.transform(having, lambda d: F.struct(d["layer"], d["cell"]["trust"], d["cell"]["late"], d["cell"]["key"], d["cell"]["row"])))
 
-    out = layered.select(F.col("_group").alias(group), "members", F.size(skyline).alias("skyline"), F.array_max(F.transform("_layers", lambda d: d["layer"])).alias("layers"), chosen.alias("_chosen"), *[supplier(i).alias(f"_from{i}") for i in range(len(names))])
-    return out.select(group, "members", "skyline", "layers", F.col("_chosen.key").alias(key), F.col("_chosen.row").alias("row"), *[x for i, n in enumerate(names) for x in (F.col(f"_from{i}.key").alias(f"{n}_from"), F.col(f"_from{i}.row").alias(f"{n}_row"))])
+    def deeper(i: int) -> Column:
+        """The first in order of the members below the layer that filled the field, if it stands before the supplier."""
+        got = F.col(f"_fill{i}")
+        place = lambda x: F.struct(x["trust"], x["late"], x["key"])
+        below = F.filter("_layers", lambda d: d["cell"][f"_has{i}"] & (d["layer"] > got["layer"]) & (place(d["cell"]) < place(got)))
+        return F.array_min(F.transform(below, lambda d: F.struct(d["cell"]["trust"], d["cell"]["late"], d["cell"]["key"], d["cell"]["row"])))
+
+    out = layered.select(F.col("_group").alias(group), "members", F.size(skyline).alias("skyline"), F.array_max(F.transform("_layers", lambda d: d["layer"])).alias("layers"), chosen.alias("_chosen"), "_layers", *[filled(i).alias(f"_fill{i}") for i in range(len(names))])
+    out = out.select("*", *[deeper(i).alias(f"_deep{i}") for i in range(len(names))])
+    overruled = sum((F.col(f"_deep{i}").isNotNull().cast("int") for i in range(len(names))), F.lit(0))
+    given = lambda i, part: F.coalesce(F.col(f"_deep{i}")[part], F.col(f"_fill{i}")[part])
+    return out.select(group, "members", "skyline", "layers", overruled.alias("overruled"), F.col("_chosen.key").alias(key), F.col("_chosen.row").alias("row"), *[x for i, n in enumerate(names) for x in (given(i, "key").alias(f"{n}_from"), given(i, "row").alias(f"{n}_row"))])

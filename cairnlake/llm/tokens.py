@@ -208,10 +208,11 @@ def _store(folder: str, block: bytes) -> str | None:
     return path
 
 
-def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str, frequent: int = 50_000) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str, frequent: int = 50_000, longest: int = 64) -> DataFrame:
     """(key, ids): the token ids of every text without special tokens; null and empty texts give an empty list.
 
-    The ``frequent`` most frequent words of the whole corpus (a bound on what the driver holds) are compiled with their
+    The ``frequent`` most frequent words of the whole corpus of at most ``longest`` characters (a bound on what the
+    driver holds) are compiled with their
     ids into a transducer in the shared folder, memory-mapped by the workers; where that folder is no file system path
     the block is broadcast. Every other word is merged exactly. Texts of any length are encoded whole; one key gives
     one row for each of its rows; extra columns are ignored. ``vocabulary`` is the path of a file of base64 tokens and
@@ -221,9 +222,10 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str, frequent:
     data = open(vocabulary, "rb").read(MOST_VOCABULARY_BYTES + 1)
     if len(data) > MOST_VOCABULARY_BYTES:
         raise ValueError("the vocabulary file is too large to be shipped")
-    top = word_counts(df, text).where("n > 1").orderBy(F.desc("n"), "word").limit(frequent).collect()  # at most `frequent` words
+    short = word_counts(df, text).where((F.col("n") > 1) & (F.length("word") <= longest))
+    top = short.orderBy(F.desc("n"), "word").limit(frequent).collect()  # at most `frequent` words of `longest` characters
     ranks = read_ranks(data)
-    words = {r["word"].encode(): merge(r["word"].encode(), ranks) for r in top if len(r["word"]) <= 64}
+    words = {r["word"].encode(): merge(r["word"].encode(), ranks) for r in top}
     block = Lexicon.compile(words) if words else Lexicon.compile({b"\0": merge(b"\0", ranks)})
     path = _store(shared_folder(spark), block)
     shipped = spark.sparkContext.broadcast((data, None if path else block))

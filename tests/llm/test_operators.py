@@ -50,6 +50,14 @@ def test_layers(spark):
     assert (r.skyline, r.layers, r.key) == (2, 2, "a")
 
 
+def test_fields_come_from_layers_and_order_overrules(spark):
+    """``b`` is dominated by ``a`` and stands in the second layer, ``c`` in the first; only ``b`` and ``c`` have a name."""
+    rows = [("g", "a", 1, "2026-01-02", "x", None), ("g", "b", 1, "2026-01-01", None, "n"), ("g", "c", 2, "2026-01-03", None, "m"), ("h", "a", 1, "2026-01-02", "x", None), ("h", "c", 2, "2026-01-03", None, "m")]
+    df = spark.createDataFrame(rows, "g string, key string, trust int, at string, kind string, name string").withColumn("at", F.col("at").cast("timestamp"))
+    got = {r.g: (r.layers, r.kind_from, r.name_from, r.overruled) for r in survivors.survivors(df, "g", "key", "trust", "at", fields(), ["kind"]).collect()}
+    assert got == {"g": (2, "a", "b", 1), "h": (1, "a", "c", 0)}
+
+
 # components
 
 
