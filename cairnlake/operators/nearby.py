@@ -51,16 +51,23 @@ def cells_around(lat: Column, lon: Column, reach_m: float) -> Column:
     return F.array_distinct(F.array(*[c for step in (-1, 0, 1) for c in row_cells(step)]))
 
 
-def join_blocks(a: DataFrame, b: DataFrame, block: list[str], a_id: str, b_id: str, hot: int = 4096) -> DataFrame:
+def crowded_blocks(counted: DataFrame, block: list[str], a: str, b: str, hot: int) -> DataFrame:
+    """(block, _na, _nb) of the blocks with more than ``hot`` rows of either side: how many shares each side is spread over."""
+    shares = lambda c: F.greatest(F.ceil(F.col(c) / hot), F.lit(1)).cast("int")
+    return counted.where((F.col(a) > hot) | (F.col(b) > hot)).select(*block, shares(a).alias("_na"), shares(b).alias("_nb"))
+
+
+def join_blocks(a: DataFrame, b: DataFrame, block: list[str], a_id: str, b_id: str, hot: int = 4096, crowded: DataFrame | None = None) -> DataFrame:
     """Join of two frames on their block columns, in which no crowded block is one task.
 
     A block with more than ``hot`` rows of either side is split into a grid of tasks: each side is spread over shares by
     a hash of its id and copied to the shares of the other. Every pair of the block meets once, as in the plain join.
+    ``crowded`` may give the result of ``crowded_blocks`` where it is known already.
     """
     one, none = F.lit(1), F.lit(0)
-    filled = a.select(*block, one.alias("_a"), none.alias("_b")).unionByName(b.select(*block, none.alias("_a"), one.alias("_b"))).groupBy(*block).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    shares = lambda c: F.greatest(F.ceil(F.col(c) / hot), F.lit(1)).cast("int")
-    crowded = filled.where(f"_a > {hot} or _b > {hot}").select(*block, shares("_a").alias("_na"), shares("_b").alias("_nb"))
+    if crowded is None:
+        both = a.select(*block, one.alias("_a"), none.alias("_b")).unionByName(b.select(*block, none.alias("_a"), one.alias("_b")))
+        crowded = crowded_blocks(both.groupBy(*block).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")), block, "_a", "_b", hot)
 
     def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         mine = F.pmod(F.xxhash64(key), F.coalesce(own, one)).cast("int").alias(f"_s{own}")
