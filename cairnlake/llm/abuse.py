@@ -32,7 +32,7 @@ _RUN = re.compile(r"(.)\1+")
 
 def segments(text: str) -> list[str]:
     """Sentences in a plain form: compatibility forms, lower case, no invisible characters, lookalikes to Latin, spelled-out words joined."""
-    t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
+    t = text.lower() if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
     out = []
     for part in _SEGMENT.split(t):
         if part and not part.isspace():
@@ -53,31 +53,64 @@ def _term(token: str) -> tuple[str, str, bool]:
     return spelled, f"{token[0]}.{token[-1]}.{min(len(token), 12)}", masked
 
 
+class _Places(dict):
+    """Numbers of tokens in the order they were first met; their hashes stand in arrays of the same order."""
+
+    def __init__(self):
+        super().__init__()
+        self.spelled = np.zeros(1024, np.uint64)
+        self.outline = np.zeros(1024, np.int64)  # -1 where there is none
+        self.masked = np.zeros(1024, bool)
+
+    def __missing__(self, token: str) -> int:
+        spelled, outline, masked = _term(token)
+        at = self[token] = len(self)
+        if at == len(self.spelled):
+            self.spelled, self.outline, self.masked = (np.concatenate([a, np.zeros_like(a)]) for a in (self.spelled, self.outline, self.masked))
+        self.spelled[at] = zlib.crc32(spelled.encode())
+        self.outline[at] = zlib.crc32(("~" + outline).encode()) if outline else -1
+        self.masked[at] = masked
+        return at
+
+
 class Terms:
-    """Hashes the terms of segments; caches tokens up to a bound."""
+    """Hashes the terms of segments, a batch of texts at a time; caches tokens up to a bound."""
 
     def __init__(self, bits: int = BITS, most: int = 300_000):
-        self.mask, self.most, self.cache = (1 << bits) - 1, most, {}
-
-    def _ids(self, token: str) -> tuple[int, ...]:
-        if (ids := self.cache.get(token)) is None:
-            spelled, outline, masked = _term(token)
-            ids = (zlib.crc32(spelled.encode()),) + ((zlib.crc32(("~" + outline).encode()),) if outline else ()) + ((zlib.crc32(b"*masked*"),) if masked else ())
-            if len(self.cache) >= self.most:
-                self.cache.clear()
-            self.cache[token] = ids
-        return ids
+        self.bits, self.mask, self.most, self.places = bits, (1 << bits) - 1, most, _Places()
+
+    def of_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, starts, owner): distinct term numbers of all segments that have words, end to end; where each segment starts; the text it is of.
+
+        Terms are words, outlines, masks and word pairs. All arithmetic is done on whole batches.
+        """
+        if len(self.places) > self.most:
+            self.places = _Places()
+        place, tokens, sizes, owner = self.places.__getitem__, [], [], []
+        for n, text in enumerate(texts):
+            for segment in segments(text) if text else ():
+                if found := _TOKEN.findall(segment):
+                    tokens += map(place, found)
+                    sizes.append(len(found))
+                    owner.append(n)
+        if not sizes:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.array(tokens)
+        seg = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+        first, outline, masked = (a[at] for a in (self.places.spelled, self.places.outline, self.places.masked))
+        pairs = (first[:-1] * np.uint64(0x9E3779B1) + first[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
+        inside, shown = seg[:-1] == seg[1:], outline >= 0
+        term = np.concatenate([first, outline[shown].astype(np.uint64), np.full(masked.sum(), zlib.crc32(b"*masked*"), np.uint64), pairs[inside]]) & np.uint64(self.mask)
+        of = np.concatenate([seg, seg[shown], seg[masked], seg[:-1][inside]])
+        both = np.sort((of << np.uint64(self.bits)) | term)
+        both = both[np.append(True, both[1:] != both[:-1])]
+        starts = np.searchsorted(both >> np.uint64(self.bits), np.arange(len(sizes), dtype=np.uint64))
+        return (both & np.uint64(self.mask)).astype(np.int32), starts, np.array(owner)
 
     def of(self, text: str) -> list[np.ndarray]:
-        """One array of distinct term numbers per segment that has words: words, outlines, masks and word pairs."""
-        out = []
-        for segment in segments(text):
-            ids = [self._ids(t) for t in _TOKEN.findall(segment)]
-            if ids:
-                first = np.array([i[0] for i in ids], np.uint64)
-                pairs = (first[:-1] * np.uint64(0x9E3779B1) + first[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
-                out.append(np.unique(np.concatenate([np.array([x for i in ids for x in i], np.uint64), pairs]) & np.uint64(self.mask)).astype(np.int32))
-        return out
+        """One array of distinct term numbers per segment that has words."""
+        flat, starts, _ = self.of_all([text])
+        return np.split(flat, starts[1:]) if len(starts) else []
 
 
 class Machine:
@@ -179,27 +212,23 @@ def label_shares(labels: DataFrame, doc: str, label: str, good: str) -> DataFram
 _WORKER: dict = {}
 
 
-def training_segments(docs: DataFrame, shares: DataFrame, doc: str, text: str, sample: int, most_terms: int) -> list[tuple[float, list[np.ndarray]]]:
-    """Hashed segments of a bounded sample of labelled documents, on the driver.
-
-    At most ``sample`` documents, chosen by a hash of their id, and ``most_terms`` term numbers each (a bound on very
-    long texts, met by leaving out whole segments of good documents and none of bad ones).
-    """
+def training_segments(docs: DataFrame, shares: DataFrame, doc: str, text: str, sample: int) -> list[tuple[float, list[np.ndarray]]]:
+    """Hashed segments of a bounded sample of labelled documents, whole texts, on the driver: at most ``sample`` documents, chosen by a hash of their id."""
     chosen = shares.orderBy(F.xxhash64(doc)).limit(sample)  # bounded by `sample`, so it may be broadcast
     rows = docs.select(doc, text).where(f"{text} is not null").join(F.broadcast(chosen), doc).select(text, "bad")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _WORKER.setdefault("terms", Terms())
         for batch in batches:
-            flat, sizes = [], []
-            for value, bad in zip(batch.column(0), batch.column(1).to_pylist()):
-                segs = terms.of(value.as_py())
-                if bad <= 0.5:
-                    total = np.cumsum([len(s) for s in segs])
-                    segs = [s for s, t in zip(segs, total) if t <= most_terms]
-                flat.append(np.concatenate(segs).tolist() if segs else [])
-                sizes.append([len(s) for s in segs])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(flat, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["bad", "flat", "sizes"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                flat, starts, owner = terms.of_all(part.column(0).to_pylist())
+                ends = np.append(starts[1:], len(flat))
+                first = np.searchsorted(owner, np.arange(part.num_rows + 1))  # the segments of each text
+                cuts = np.append(starts, len(flat))[first].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int32()))
+                sizes = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array((ends - starts).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(1), lists, sizes], ["bad", "flat", "sizes"])
 
     table = rows.mapInArrow(run, "bad double, flat array<int>, sizes array<int>").toArrow()
     out = []
@@ -210,14 +239,14 @@ def training_segments(docs: DataFrame, shares: DataFrame, doc: str, text: str, s
     return out
 
 
-def scored(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, good: str = "ok", sample: int = 20_000, most_terms: int = 4_000) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, good: str = "ok", sample: int = 20_000) -> DataFrame:
     """(doc, score): the probability that the worst segment of the text is abusive, hateful or sexual; one row per row of ``docs``.
 
     Every text is read whole. Null, empty and wordless texts score 0. Without labels of both kinds every score is that
     of the prior. The model (two arrays of fixed size, about 9 MB) is broadcast; there is no shuffle of texts.
     """
     spark = docs.sparkSession
-    machine = learn(training_segments(docs, label_shares(labels, doc, label, good), doc, text, sample, most_terms))
+    machine = learn(training_segments(docs, label_shares(labels, doc, label, good), doc, text, sample))
     sent = spark.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,16 +254,10 @@ def scored(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str,
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows, owner = [], []
-                for i, value in enumerate(part.column(1)):
-                    if s := value.as_py():
-                        segs = terms.of(s)
-                        rows += segs
-                        owner += [i] * len(segs)
+                flat, starts, owner = terms.of_all(part.column(1).to_pylist())
                 best = np.full(part.num_rows, -np.inf)
-                if rows:
-                    flat, starts = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
-                    np.maximum.at(best, np.array(owner), model.margin(flat, starts))
+                if len(starts):
+                    np.maximum.at(best, owner, model.margin(flat, starts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(np.isneginf(best), 0.0, 1 / (1 + np.exp(-np.clip(best, -50, 50)))))], [doc, "score"])
 
     return docs.select(doc, text).mapInArrow(run, f"{doc} {docs.schema[doc].dataType.simpleString()}, score double")

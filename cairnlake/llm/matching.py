@@ -156,27 +156,38 @@ def signatures(lat, lon, names: list[str]):
     return place, name
 
 
-def banded(rows: DataFrame) -> DataFrame:
-    """(num, band, by_name): the bands of every record with num, lat, lon and base; one Arrow pass, vectorised over its batches."""
+def banded(rows: DataFrame, kinds: int) -> DataFrame:
+    """Every record once a band: band, kind, by_name and what the comparison needs (num, key, source, lat, lon).
+
+    ``rows`` has num, key, source (a number), lat and lon in degrees, base, and kind as a number, null for unknown; a
+    record of unknown kind is written under all of ``kinds`` numbers. One Arrow pass, vectorised over its batches: with
+    built-in expressions it would be some hundred interpreted hashes a record.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            lat, lon = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
-            if not len(lat):
+            if not batch.num_rows:
                 continue
-            place, name = signatures(lat, lon, batch.column(3).to_pylist())
+            lat, lon = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (3, 4))
+            place, name = signatures(lat, lon, batch.column(5).to_pylist())
             place = _mix(place + np.arange(PLACE_BANDS, dtype=np.uint64), 500)
-            num = batch.column(0).to_numpy(zero_copy_only=False)
             who, which = np.nonzero(name)
-            nums = np.concatenate([np.repeat(num, PLACE_BANDS), num[who]])
-            bands = np.concatenate([place.ravel(), name[who, which]]).view(np.int64)
+            at = np.concatenate([np.repeat(np.arange(len(lat)), PLACE_BANDS), who])
+            band = np.concatenate([place.ravel(), name[who, which]]).view(np.int64)
             by_name = np.concatenate([np.zeros(place.size, bool), np.ones(len(who), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(nums), pa.array(bands), pa.array(by_name)], ["num", "band", "by_name"])
+            kind = batch.column(6).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+            copies = np.where(kind[at] < 0, kinds, 1)
+            each = np.repeat(np.arange(len(at)), copies)
+            turn = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+            at, band, by_name = at[each], band[each], by_name[each]
+            kind = np.where(kind[at] < 0, turn, kind[at]).astype(np.int32)
+            rest = [batch.column(i).take(pa.array(at)) for i in (0, 1, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(kind), pa.array(by_name), *rest], ["band", "kind", "by_name", "num", "key", "source", "lat", "lon"])
 
-    return rows.select("num", "lat", "lon", "base").mapInArrow(run, "num long, band long, by_name boolean")
+    return rows.select("num", "key", "source", "lat", "lon", "base", "kind").mapInArrow(run, "band long, kind int, by_name boolean, num long, key string, source long, lat double, lon double")
 
 
 def candidates(rows: DataFrame, reach_m: float = REACH_M, name_reach_m: float = NAME_REACH_M, hot: int = 2048) -> DataFrame:
@@ -189,14 +200,13 @@ def candidates(rows: DataFrame, reach_m: float = REACH_M, name_reach_m: float =
     nothing is cut off. Attributes are attached to the pairs that are left.
     """
     rows = cut(rows.withColumn("num", F.monotonically_increasing_id()))
-    kinds = F.array(*[F.lit(i) for i in range(len(KIND_WORDS) + 1)])
     code = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KIND_WORDS)])
-    light = rows.select("num", "key", F.xxhash64("source").alias("source"), F.radians("lat").alias("lat"), F.radians("lon").alias("lon"), F.explode(F.when(code.isNull(), kinds).otherwise(F.array(code))).alias("kind"))
-    placed = banded(rows).join(light, "num")
-    side = lambda s: placed.select("band", "kind", "by_name", *[F.col(c).alias(f"{c}_{s}") for c in ("num", "key", "source", "lat", "lon")])
-    met = nearby.join_blocks(side("l"), side("r").drop("by_name"), ["band", "kind"], "num_l", "num_r", hot)
-    s1, s2 = F.sin((F.col("lat_r") - F.col("lat_l")) / 2), F.sin((F.col("lon_r") - F.col("lon_l")) / 2)
-    metres = F.asin(F.least(F.lit(1.0), F.sqrt(s1 * s1 + F.cos("lat_l") * F.cos("lat_r") * s2 * s2))) * (2 * geo.EARTH_M)
+    placed = banded(rows.select("num", "key", F.xxhash64("source").alias("source"), "lat", "lon", "base", code.alias("kind")), len(KIND_WORDS) + 1)
+    block = ["band", "kind"]
+    crowded = cut(nearby.crowded_blocks(placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")), block, "_n", "_n", hot))
+    side = lambda s: placed.select(*block, *[F.col(c).alias(f"{c}_{s}") for c in ("by_name", "num", "key", "source", "lat", "lon")])
+    met = nearby.join_blocks(side("l"), side("r"), block, "num_l", "num_r", hot, crowded).withColumn("by_name", F.col("by_name_l"))
+    metres = geo.haversine_m(F.col("lat_l"), F.col("lon_l"), F.col("lat_r"), F.col("lon_r"))
     met = met.where((F.col("key_l") < F.col("key_r")) & (F.col("source_l") != F.col("source_r")))
     found = met.select("num_l", "num_r", metres.alias("metres"), "by_name").where(F.col("metres") <= F.when(F.col("by_name"), name_reach_m).otherwise(reach_m))
     pairs = found.groupBy("num_l", "num_r").agg(F.first("metres").alias("metres"), F.min("by_name").alias("by_name"))
