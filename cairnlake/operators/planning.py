@@ -1,89 +1,132 @@
-"""Day planning: shortest paths over ordered stops, one hike per task."""
+"""Day planning as a relaxation over ordered stops: one fold per hike, in built-in expressions."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
 CAP_MI, OVER_WEIGHT, CAMPSITE_MARGIN = 25.0, 2.25, 0.02
 
 
-def _edges(miles: list[float], j: int, cap: float) -> list[int]:
-    near = [i for i in range(j) if abs(miles[j] - miles[i]) <= cap]
-    return near or [j - 1]
+def day_price(size: Column, target: Column, over: float, camp: Column) -> Column:
+    """The square of what a day is off the target, more above it; ending at a campsite costs a little."""
+    off = size - target
+    nudge = F.when(camp, target * target * CAMPSITE_MARGIN**2).otherwise(0.0)
+    return F.when(off > 0, F.lit(over)).otherwise(F.lit(1.0)) * off * off + nudge
 
 
-def _price(size: float, target: float, over: float) -> float:
-    off = size - target
-    return (over if off > 0 else 1.0) * off * off
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def plan(miles: list[float], campsite: list[bool], target: float, cap: float = CAP_MI, over: float = OVER_WEIGHT) -> list[int]:
-    """Stops at which days end: the cheapest way from the first to the last, the earliest predecessor on ties.
+def _reachable(recent: Column, mile: Column, cap: float) -> Column:
+    """Stops from which a day may end here: those within the cap; the nearest one where there are none."""
+    return _let(F.filter(recent, lambda s: F.abs(mile - s["mile"]) <= cap), lambda near: F.when(F.size(near) > 0, near).otherwise(F.slice(recent, -1, 1)))
 
-    A day costs the square of what it is off the target, more above it; ending at a campsite costs a little. Days longer
-    than the cap happen only where no stop is in reach.
-    """
-    n = len(miles)
-    if n < 2:
-        return []
-    nudge = (CAMPSITE_MARGIN * target) ** 2
-    best, back = [0.0] + [math.inf] * (n - 1), [0] * n
-    for j in range(1, n):
-        for i in _edges(miles, j, cap):
-            cost = best[i] + _price(abs(miles[j] - miles[i]), target, over) + (nudge if campsite[j] else 0.0)
-            if cost < best[j]:
-                best[j], back[j] = cost, i
-    out = [n - 1]
-    while out[-1]:
-        out.append(back[out[-1]])
-    return out[::-1]
-
-
-def plan_exact(miles: list[float], campsite: list[bool], days: int, cap: float = CAP_MI, over: float = OVER_WEIGHT) -> list[int] | None:
-    """The same with exactly so many days; None where there is no way."""
-    n = len(miles)
-    if n < 2 or not 1 <= days <= n - 1:
-        return None
-    target = abs(miles[-1] - miles[0]) / days
-    nudge = (CAMPSITE_MARGIN * target) ** 2
-    best = [[math.inf] * (days + 1) for _ in range(n)]
-    back = [[-1] * (days + 1) for _ in range(n)]
-    best[0][0] = 0.0
-    for j in range(1, n):
-        for i in _edges(miles, j, cap):
-            edge = _price(abs(miles[j] - miles[i]), target, over) + (nudge if campsite[j] else 0.0)
-            for k in range(1, days + 1):
-                if best[i][k - 1] + edge < best[j][k]:
-                    best[j][k], back[j][k] = best[i][k - 1] + edge, i
-    if not math.isfinite(best[-1][days]):
-        return None
-    out, at = [], n - 1
-    for k in range(days, 0, -1):
-        out.append(at)
-        at = back[at][k]
-    return [0, *out[::-1]]
-
-
-def planned_days(stops: DataFrame, hike: str, mile: str, campsite: str, target: float, days: int | None = None) -> DataFrame:
-    """(hike, day, from_mile, to_mile) for every hike; a hike has some hundred stops, hikes run in parallel.
-
-    With ``days`` the number of days is fixed; hikes for which that can't be done have no rows.
+
+def _days_of(stops: Column, way: Column) -> Column:
+    """Days (day, from_mile, to_mile) between the places of a way."""
+    return F.transform(F.sequence(F.lit(1), F.size(way) - 1), lambda k: F.struct(k.alias("day"), F.get(stops, F.get(way, k - 1))["mile"].alias("from_mile"), F.get(stops, F.get(way, k))["mile"].alias("to_mile")))
+
+
+def _cheapest(stops: Column, target: Column, cap: float, over: float) -> Column:
+    """Days of the cheapest way from the first stop to the last, the earlier predecessor on ties.
+
+    The fold carries the stops still in reach with the cost of getting there, and of every stop the one before it.
     """
-    schema = f"{hike} {stops.schema[hike].dataType.simpleString()}, day int, from_mile double, to_mile double"
+    at = lambda i, mile, cost: F.struct(i.alias("i"), mile.alias("mile"), cost.alias("cost"))
+    start = F.struct(F.array(at(F.lit(0), F.get(stops, F.lit(0))["mile"], F.lit(0.0))).alias("recent"), F.array(F.lit(-1)).alias("back"))
+
+    def step(acc: Column, stop: Column) -> Column:
+        def reached(near: Column) -> Column:
+            ways = F.transform(near, lambda s: F.struct((s["cost"] + day_price(F.abs(stop["mile"] - s["mile"]), target, over, stop["camp"])).alias("cost"), s["i"].alias("i")))
+            return _let(F.array_min(ways), lambda best: F.struct(F.concat(near, F.array(at(F.size(acc["back"]), stop["mile"], best["cost"]))).alias("recent"), F.concat(acc["back"], F.array(best["i"])).alias("back")))
+
+        return _let(_reachable(acc["recent"], stop["mile"], cap), reached)
+
+    back = F.aggregate(F.slice(stops, 2, F.greatest(F.size(stops) - 1, F.lit(0))), start, step, lambda acc: acc["back"])
+    end = F.struct(F.array(F.size(stops) - 1).alias("way"), back.alias("back"))
+
+    def before(acc: Column, i: Column) -> Column:
+        return F.when(F.get(acc["way"], F.lit(0)) == i, F.struct(F.concat(F.array(F.get(acc["back"], i)), acc["way"]).alias("way"), acc["back"].alias("back"))).otherwise(acc)
+
+    return F.aggregate(F.reverse(F.sequence(F.lit(1), F.size(stops) - 1)), end, before, lambda acc: _days_of(stops, acc["way"]))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(mile)
-        miles, camp = pdf[mile].tolist(), pdf[campsite].tolist()
-        chosen = (plan_exact(miles, camp, days) if days else plan(miles, camp, target)) or []
-        rows = [(pdf[hike].iloc[0], k + 1, miles[a], miles[b]) for k, (a, b) in enumerate(zip(chosen, chosen[1:]))]
-        return pd.DataFrame(rows, columns=[hike, "day", "from_mile", "to_mile"])
 
-    return stops.select(hike, mile, campsite).groupBy(hike).applyInPandas(one, schema)
+def _cheapest_in(stops: Column, days: int, target: Column, cap: float, over: float) -> Column:
+    """The same in exactly so many days; null where there is no way. Costs stand in layers, one for each number of days."""
+    none = F.lit(None).cast("double")
+    at = lambda i, mile, costs: F.struct(i.alias("i"), mile.alias("mile"), costs.alias("costs"))
+    layers = F.sequence(F.lit(1), F.lit(days))
+    start = F.struct(
+        F.array(at(F.lit(0), F.get(stops, F.lit(0))["mile"], F.concat(F.array(F.lit(0.0)), F.transform(layers, lambda _: none)))).alias("recent"),
+        F.array(F.transform(layers, lambda _: F.lit(-1))).alias("back"),
+        none.alias("total"),
+    )
+
+    def step(acc: Column, stop: Column) -> Column:
+        def reached(near: Column) -> Column:
+            priced = F.transform(near, lambda s: F.struct(s["i"].alias("i"), s["costs"].alias("costs"), F.abs(stop["mile"] - s["mile"]).alias("size")))
+            priced = F.transform(priced, lambda s: F.struct(s["i"].alias("i"), s["costs"].alias("costs"), day_price(s["size"], target, over, stop["camp"]).alias("price")))
+
+            def layer(k: Column, ways: Column) -> Column:
+                had = F.filter(ways, lambda s: F.get(s["costs"], k - 1).isNotNull())
+                return F.array_min(F.transform(had, lambda s: F.struct((F.get(s["costs"], k - 1) + s["price"]).alias("cost"), s["i"].alias("i"))))
+
+            def with_best(best: Column) -> Column:
+                costs = F.concat(F.array(none), F.transform(best, lambda b: b["cost"]))
+                return F.struct(F.concat(near, F.array(at(F.size(acc["back"]), stop["mile"], costs))).alias("recent"), F.concat(acc["back"], F.array(F.transform(best, lambda b: F.coalesce(b["i"], F.lit(-1))))).alias("back"), F.element_at(best, -1)["cost"].alias("total"))
+
+            return _let(_let(priced, lambda ways: F.transform(layers, lambda k: layer(k, ways))), with_best)
+
+        return _let(_reachable(acc["recent"], stop["mile"], cap), reached)
+
+    solved = F.aggregate(F.slice(stops, 2, F.greatest(F.size(stops) - 1, F.lit(0))), start, step, lambda acc: F.struct(acc["back"].alias("back"), acc["total"].alias("total")))
+    end = F.struct(F.array(F.size(stops) - 1).alias("way"), solved.alias("solved"))
+
+    def before(acc: Column, k: Column) -> Column:
+        i = F.greatest(F.get(acc["way"], F.lit(0)), F.lit(0))
+        return F.struct(F.concat(F.array(F.get(F.get(acc["solved"]["back"], i), k - 1)), acc["way"]).alias("way"), acc["solved"].alias("solved"))
+
+    return F.aggregate(F.reverse(layers), end, before, lambda acc: F.when(acc["solved"]["total"].isNotNull(), _days_of(stops, acc["way"])))
+
+
+def planned_days(stops: DataFrame, hike: str | list[str], mile: str, campsite: str, target: float, days: int | None = None, cap: float = CAP_MI, over: float = OVER_WEIGHT) -> DataFrame:
+    """(hike, day, from_mile, to_mile) for every hike, from its first stop to its last.
+
+    Days longer than the cap happen only where no stop is in reach. With ``days`` the number of days is fixed and the
+    target is their mean; hikes for which that can't be done have no rows, nor have those with fewer than two stops. The
+    stops of a hike (some hundred) are one row; hikes run in parallel, and a stop looks back no further than the cap.
+    """
+    by = [hike] if isinstance(hike, str) else hike
+    rows = stops.where(F.col(mile).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(mile).cast("double").alias("mile"), F.coalesce(F.col(campsite), F.lit(False)).alias("camp")))).alias("_stops"))
+    rows = rows.where(F.size("_stops") >= max(2, (days or 1) + 1))
+    s = F.col("_stops")
+    if days:
+        way = _cheapest_in(s, days, F.abs(F.element_at(s, -1)["mile"] - F.get(s, F.lit(0))["mile"]) / days, cap, over)
+    else:
+        way = _cheapest(s, F.lit(float(target)), cap, over)
+    return rows.select(*by, F.inline(way))
+
+
+def candidate_stops(stops: DataFrame, hike: str, mile: str, campsite: str, low: float, high: float) -> DataFrame:
+    """Stops of each hike strictly between two miles, and the two miles themselves as termini that are no camps."""
+    inside = stops.where((F.col(mile) > low) & (F.col(mile) < high)).select(hike, mile, campsite)
+    ends = stops.select(hike).distinct().select(hike, F.explode(F.array(F.lit(low), F.lit(high))).alias(mile), F.lit(False).alias(campsite))
+    return inside.unionByName(ends)
+
+
+def planned_via(stops: DataFrame, hike: str, mile: str, campsite: str, points: list[float], target: float) -> DataFrame:
+    """Days over a route through given miles: every leg planned by itself, laid end to end."""
+    legs = None
+    for k, (a, b) in enumerate(zip(points, points[1:])):
+        leg = candidate_stops(stops, hike, mile, campsite, a, b).withColumn("_leg", F.lit(k))
+        legs = leg if legs is None else legs.unionByName(leg)
+    days = planned_days(legs, [hike, "_leg"], mile, campsite, target)
+    number = F.row_number().over(Window.partitionBy(hike).orderBy("_leg", "day"))
+    return days.withColumn("day", number).drop("_leg")
 
 
 def with_rests(days: DataFrame, hike: str, day: str, walked: str, every: int) -> DataFrame:

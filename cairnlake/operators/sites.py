@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, normal_name
+from ..session import cut
 from . import nearby
 
 #: Fixed values.
@@ -31,7 +32,7 @@ def parents(members: DataFrame, anchors: DataFrame, key: str, name: str, lat: st
 def grouped(records: DataFrame, key: str, kind: str, name: str, lat: str, lon: str) -> DataFrame:
     """(member, anchor, metres) of two passes: to shelters first, then to campsites that aren't members themselves."""
     members = records.where(F.col(kind).isin(*MEMBER_TYPES))
-    first = parents(members, records.where(F.col(kind) == "shelter"), key, name, lat, lon)
+    first = cut(parents(members, records.where(F.col(kind) == "shelter"), key, name, lat, lon))  # read three times below
     taken = first.select(F.col("member").alias(key))
     free = records.where(F.col(kind) == "campsite").join(taken, key, "left_anti")
     second = parents(members.join(taken, key, "left_anti").join(free.select(key), key, "left_anti"), free, key, name, lat, lon)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text, times
 from ..functions.plain import POI_TYPES, plain, plain_source, plain_source_id, usable_position
 from ..operators import identity, nearby, sites, tables
-from ..session import table
+from ..session import cut, table
 from .places import current_places
 
 #: Layers with the type and confidence they are staged at.
@@ -160,12 +160,12 @@ def m08_tombstones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w36_sites(spark: SparkSession, d: str) -> DataFrame:
-    p = current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude")))
+    p = cut(current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude"))))
     return sites.grouped(p, "poi_key", "known_type", "name", "latitude", "longitude").select("member", "anchor", F.round("metres", 2).alias("metres"))
 
 
 def a38_roster(spark: SparkSession, d: str) -> DataFrame:
-    p = current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude")))
+    p = cut(current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude"))))
     g = sites.grouped(p, "poi_key", "known_type", "name", "latitude", "longitude")
     return sites.roster(g, p, "poi_key", "known_type", ("campsite", "water", "privy")).select("anchor", "member", F.col("place").cast("long").alias("place"))
 

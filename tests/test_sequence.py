@@ -63,27 +63,39 @@ def test_equal_runs_keep_null_as_a_key(spark):
 
 def brute_cost(miles, camp, chosen, target):
     nudge = (planning.CAMPSITE_MARGIN * target) ** 2
-    return sum(planning._price(miles[b] - miles[a], target, planning.OVER_WEIGHT) + (nudge if camp[b] else 0) for a, b in zip(chosen, chosen[1:]))
+    price = lambda size: (planning.OVER_WEIGHT if size > target else 1.0) * (size - target) ** 2
+    return sum(price(miles[b] - miles[a]) + (nudge if camp[b] else 0) for a, b in zip(chosen, chosen[1:]))
 
 
-def test_plans_against_brute_force():
+def planned(spark, hikes, **kw):
+    df = spark.createDataFrame([(h, m, c) for h, (miles, camp) in enumerate(hikes) for m, c in zip(miles, camp)], "hike int, mile double, camp boolean")
+    out = {}
+    for r in planning.planned_days(df, "hike", "mile", "camp", 14.0, **kw).orderBy("hike", "day").collect():
+        out.setdefault(r.hike, [hikes[r.hike][0].index(r.from_mile)]).append(hikes[r.hike][0].index(r.to_mile))
+    return out
+
+
+def test_plans_against_brute_force(spark):
     rng = random.Random(4)
+    hikes = []
     for _ in range(20):
         miles = sorted({float(rng.randint(0, 60)) for _ in range(9)})
-        camp = [rng.random() < 0.5 for _ in miles]
+        hikes.append((miles, [rng.random() < 0.5 for _ in miles]))
+    free, exact = planned(spark, hikes), planned(spark, hikes, days=4)
+    for h, (miles, camp) in enumerate(hikes):
         n = len(miles)
         every = [[0, *c, n - 1] for k in range(n - 1) for c in itertools.combinations(range(1, n - 1), k)]
         legal = [c for c in every if all(miles[b] - miles[a] <= planning.CAP_MI or (b == a + 1 and miles[b] - miles[b - 1] > planning.CAP_MI) for a, b in zip(c, c[1:]))]
-        assert brute_cost(miles, camp, planning.plan(miles, camp, 14.0), 14.0) == pytest.approx(min(brute_cost(miles, camp, c, 14.0) for c in legal))
-        exact = [c for c in legal if len(c) == 5]
-        got, target = planning.plan_exact(miles, camp, 4), (miles[-1] - miles[0]) / 4
-        assert (got is None) == (not exact)
-        if got:
-            assert brute_cost(miles, camp, got, target) == pytest.approx(min(brute_cost(miles, camp, c, target) for c in exact))
+        assert brute_cost(miles, camp, free[h], 14.0) == pytest.approx(min(brute_cost(miles, camp, c, 14.0) for c in legal))
+        four, target = [c for c in legal if len(c) == 5], (miles[-1] - miles[0]) / 4
+        assert (h in exact) == bool(four)
+        if four:
+            assert brute_cost(miles, camp, exact[h], target) == pytest.approx(min(brute_cost(miles, camp, c, target) for c in four))
 
 
-def test_plans_refuse():
-    assert planning.plan([1.0], [False], 10) == [] and planning.plan_exact([0.0, 1.0], [False, False], 2) is None
+def test_plans_refuse(spark):
+    assert planned(spark, [([1.0], [False])]) == {} and planned(spark, [([0.0, 1.0], [False, False])], days=2) == {}
+    assert planned(spark, [([0.0, 90.0, 91.0], [False, True, False])]) == {0: [0, 1, 2]}
 
 
 @pytest.mark.parametrize(
