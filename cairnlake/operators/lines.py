@@ -21,19 +21,52 @@ def segments(vertices: DataFrame, line: str, order: str, x: str, y: str) -> Data
     return v.withColumn("_len", length).withColumn("along", along).drop("_len")
 
 
-def nearest_segment(points: DataFrame, segs: DataFrame, point: str, x: str, y: str, line: str, reach: float) -> DataFrame:
+def cells_walked(segs: DataFrame, side: float, margin: float) -> DataFrame:
+    """Segments (ax, ay, bx, by) in every grid cell they come within ``margin`` of along both axes: adds _cx and _cy.
+
+    Columns are walked one after the other, and of each only the rows that the segment passes in it, so a long slanting
+    segment takes as many cells as it is long, not as its box is large.
+    """
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    columns = segs.withColumn("_cx", F.explode(F.sequence(F.floor((low - margin) / side), F.floor((high + margin) / side))))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    at = lambda x: F.when(dx != 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("ax")) / dx)))
+    t0, t1 = at(F.col("_cx") * side - margin), at((F.col("_cx") + 1) * side + margin)
+    y0, y1 = F.coalesce(F.col("ay") + t0 * dy, F.col("ay")), F.coalesce(F.col("ay") + t1 * dy, F.col("by"))
+    slack = margin * (1 + 1e-9) + side * 1e-9
+    return columns.withColumn("_cy", F.explode(F.sequence(F.floor((F.least(y0, y1) - slack) / side), F.floor((F.greatest(y0, y1) + slack) / side))))
+
+
+def _nearest(placed: DataFrame, segs: DataFrame, point: str, line: str, reach: float) -> DataFrame:
+    """(point, distance, line, seg, along, ends, _px, _py): the nearest segment within ``reach`` of each point with _px and _py.
+
+    Segments are written into the cells (of side ``reach``) they pass, widened by the reach; a point looks into its own
+    cell. Only the best segment of each map task is shuffled.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach)
+    walked = cells_walked(segs, reach, reach)
+    d = geo.segment_nearest(F.col("_px"), F.col("_py"), *[F.col(c) for c in ("ax", "ay", "bx", "by")])[0]
+    rest = (line, "seg", "along", "ax", "ay", "bx", "by", "_px", "_py")
+    met = placed.withColumns({"_cx": cell("_px"), "_cy": cell("_py")}).join(walked, ["_cx", "_cy"]).select(point, *rest, d.alias("distance")).where(F.col("distance") <= reach)
+    return met.groupBy(point).agg(F.min(F.struct("distance", *rest)).alias("_c")).select(point, "_c.*")
+
+
+def nearest_segment(points: DataFrame, segs: DataFrame, point: str, x: str, y: str, line: str, reach: float, first: float | None = 0.125) -> DataFrame:
     """(point, line, distance, foot_x, foot_y, along): the nearest segment within ``reach``; points without one are absent.
 
-    Segments are written into the cells (of side ``reach``) their box touches, widened by one; a point looks into its
-    own cell. Ties go to the smaller line, then the earlier segment.
+    Points are looked at within a share ``first`` of the reach before: what is found there is the nearest, and in a dense
+    net of lines it spares most of the pairs; only the others look over the whole reach. None leaves that out (for
+    segments far longer than the reach). Ties go to the smaller line, then the earlier segment.
     """
-    cell = lambda c: F.floor(c / reach)
-    boxed = segs.withColumn("_cx", F.explode(F.sequence(cell(F.least("ax", "bx")) - 1, cell(F.greatest("ax", "bx")) + 1))).withColumn("_cy", F.explode(F.sequence(cell(F.least("ay", "by")) - 1, cell(F.greatest("ay", "by")) + 1)))
-    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(point, F.col(x).alias("_px"), F.col(y).alias("_py"), cell(F.col(x)).alias("_cx"), cell(F.col(y)).alias("_cy"))
-    d, fx, fy = geo.segment_nearest(F.col("_px"), F.col("_py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    on = F.sqrt((fx - F.col("ax")) * (fx - F.col("ax")) + (fy - F.col("ay")) * (fy - F.col("ay")))
-    met = placed.join(boxed, ["_cx", "_cy"]).select(point, F.struct(d.alias("distance"), F.col(line).alias(line), F.col("seg"), fx.alias("foot_x"), fy.alias("foot_y"), (F.col("along") + on).alias("along")).alias("_c")).where(F.col("_c.distance") <= reach)
-    return met.groupBy(point).agg(F.min("_c").alias("_c")).select(point, f"_c.{line}", "_c.distance", "_c.foot_x", "_c.foot_y", "_c.along")
+    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(point, F.col(x).alias("_px"), F.col(y).alias("_py"))
+    if first is None:
+        best = _nearest(placed, segs, point, line, reach)
+    else:
+        close = cut(_nearest(placed, segs, point, line, reach * first))
+        best = close.unionByName(_nearest(placed.join(close.select(point), point, "left_anti"), segs, point, line, reach))
+    _, fx, fy = geo.segment_nearest(F.col("_px"), F.col("_py"), *[F.col(c) for c in ("ax", "ay", "bx", "by")])
+    on = F.sqrt((F.col("foot_x") - F.col("ax")) * (F.col("foot_x") - F.col("ax")) + (F.col("foot_y") - F.col("ay")) * (F.col("foot_y") - F.col("ay")))
+    return best.withColumns({"foot_x": fx, "foot_y": fy}).select(point, line, "distance", "foot_x", "foot_y", (F.col("along") + on).alias("along"))
 
 
 def calibrated(markers: DataFrame, line: str, along: str, mile: str) -> DataFrame:

@@ -23,17 +23,23 @@ def tiles_of_bounds(df: DataFrame, west: Column, south: Column, east: Column, no
     return df.withColumn("x", F.explode(F.sequence(a, b))).withColumn("y", F.explode(F.sequence(c, d)))
 
 
-def owners(tiles: DataFrame, cells: DataFrame, key: list[str], cx: str, cy: str) -> DataFrame:
+def owners(tiles: DataFrame, cells: DataFrame, key: list[str], cx: str, cy: str, side: float = 1.0) -> DataFrame:
     """The one cell that owns each tile: the one whose half-open box holds its centre, else the nearest, the lower index on ties.
 
-    The cells are a fixed grid of at most some hundred one-degree squares, which is why each tile may look at all; any
-    number of them is looked at.
+    Most tiles are settled by an equi-join on squares of ``side``, into which every cell is written. Only those no cell
+    holds look at all cells; of these the nearest is kept before anything is shuffled. Tiles and cells without a
+    position or bounds have no part in it.
     """
+    at = lambda c: F.floor(c / side).cast("long")
+    filed = cells.withColumn("_gx", F.explode(F.sequence(at(F.col("west")), at(F.col("east"))))).withColumn("_gy", F.explode(F.sequence(at(F.col("south")), at(F.col("north")))))
+    placed = tiles.where(F.col(cx).isNotNull() & F.col(cy).isNotNull()).withColumns({"_gx": at(F.col(cx)), "_gy": at(F.col(cy))})
     inside = (F.col(cx) >= F.col("west")) & (F.col(cx) < F.col("east")) & (F.col(cy) >= F.col("south")) & (F.col(cy) < F.col("north"))
+    held = placed.join(filed, ["_gx", "_gy"]).where(inside).groupBy(*key).agg(F.min("cell").alias("cell"))
     dx = F.greatest(F.col("west") - F.col(cx), F.col(cx) - F.col("east"), F.lit(0.0))
     dy = F.greatest(F.col("south") - F.col(cy), F.col(cy) - F.col("north"), F.lit(0.0))
-    rank = F.struct((~inside).cast("int"), dx * dx + dy * dy, "cell")
-    return tiles.join(F.broadcast(cells), F.lit(True)).groupBy(*key).agg(F.min_by("cell", rank).alias("cell"))
+    lost = placed.drop("_gx", "_gy").join(held.select(*key), key, "left_anti")
+    nearest = lost.join(cells, F.lit(True)).groupBy(*key).agg(F.min_by("cell", F.struct(dx * dx + dy * dy, "cell")).alias("cell"))
+    return held.unionByName(nearest)
 
 
 def floored_blue(blue: Column, unit: int) -> Column:
@@ -53,4 +59,4 @@ def sampled(points: DataFrame, raster: DataFrame, key: str) -> DataFrame:
 
 def seam_histogram(tiles: DataFrame, most: int) -> DataFrame:
     """Tiles by their distance to the seam, capped; null without a seam."""
-    return tiles.select(F.least("distance", F.lit(most)).alias("distance")).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
+    return tiles.select(F.when(F.col("distance").isNotNull(), F.least("distance", F.lit(most))).alias("distance")).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
