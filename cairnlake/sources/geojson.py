@@ -21,12 +21,23 @@ def read_points(spark: SparkSession, path: str, loaded_at: str) -> DataFrame:
 
     Features without a geometry keep null positions; so do geometries of other types.
     """
-    raw = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
+    return point_features(spark.read.schema(COLLECTION).option("multiLine", True).json(path), loaded_at)
+
+
+def point_features(raw: DataFrame, loaded_at: str) -> DataFrame:
+    """The features of collections, one row each; lines of one collection each are as good as whole files."""
     f = raw.select(F.explode("features").alias("f"), F.input_file_name().alias("_source_path"))
     xy = F.when(F.col("f.geometry.type") == "Point", F.col("f.geometry.coordinates"))
     return f.select(F.col("f.id").alias("id"), F.col("f.properties").alias("properties"), F.get(xy, F.lit(0)).alias("lon"), F.get(xy, F.lit(1)).alias("lat"), F.lit(loaded_at).cast("timestamp_ntz").alias("_loaded_at"), "_source_path")
 
 
+def registered_layers(registry: DataFrame, extras: list[tuple[str, str]]) -> DataFrame:
+    """(name) of the tables that load: the registry's layers without a kind, and fixed extra ones (provider, key)."""
+    more = registry.sparkSession.createDataFrame(extras, "provider string, key string")
+    own = registry.where("kind is null").select("provider", "key")
+    return own.unionByName(more).select(F.concat(F.lit("raw_"), "provider", F.lit("__"), "key").alias("name"))
+
+
 def read_registered(spark: SparkSession, folder: str, layers: list[tuple[str, str]], loaded_at: str) -> tuple[dict[str, DataFrame], list[str]]:
     """Layers (name, file) that exist, and the names of those that don't: a missing file is skipped, never an error."""
     found = {name: read_points(spark, os.path.join(folder, file), loaded_at) for name, file in layers if os.path.exists(os.path.join(folder, file))}

@@ -6,11 +6,11 @@ import pathlib
 import pytest
 
 import __spark_entry__ as entry
-from cairnlake.plans import conditions, corridor, lines, places, routes, trail, warehouse
+from cairnlake.plans import conditions, corridor, gates, lines, places, routes, trail, warehouse, water
 
 from .conftest import SMALL
 
-MODULES = (places, conditions, trail, warehouse, lines, routes, corridor)
+MODULES = (places, conditions, trail, warehouse, lines, routes, corridor, water, gates)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 
