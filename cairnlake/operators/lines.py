@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..session import cut
+from .sequence import running_totals
 
 
 def segments(vertices: DataFrame, line: str, order: str, x: str, y: str) -> DataFrame:
@@ -99,17 +100,40 @@ def mile_at(knots_: Column, along: Column, metres_per_mile: float = geo.METRES_P
 def resampled(lengths: DataFrame, line: str, length: str, interval: float) -> DataFrame:
     """(line, along, total): a point every ``interval`` along lines laid end to end in order of ``line``; the remainder carries over.
 
-    A point that falls on a joint belongs to the line that ends there. The number of lines is small; the points are made
-    by ``sequence`` on each.
+    A point that falls on a joint belongs to the line that ends there. Where a line starts comes from running totals over
+    ranges of lines; the points are made by ``sequence`` on each.
     """
-    w = Window.orderBy(line)
-    off = lengths.select(line, F.col(length).alias("_len"), (F.sum(length).over(w) - F.col(length)).alias("_off"), F.row_number().over(w).alias("_n"))
+    laid = running_totals(lengths.select(line, F.col(length).alias("_len")), line, {"_until": F.col("_len"), "_n": F.lit(1).cast("long")})
+    off = laid.select(line, "_len", (F.col("_until") - F.col("_len")).alias("_off"), "_n")
     low = F.when(F.col("_n") == 1, F.lit(0).cast("long")).otherwise(F.floor(F.col("_off") / interval) + 1)
     high = F.floor((F.col("_off") + F.col("_len")) / interval)
     steps = off.where(high >= low).withColumn("_i", F.explode(F.sequence(low, high)))
     return steps.select(line, (F.col("_i") * interval - F.col("_off")).alias("along"), (F.col("_i") * interval).alias("total"))
 
 
+def simplify(points: list[tuple[float, float]], tolerance: float) -> list[int]:
+    """Indices kept by farthest-point simplification, done with a stack and whole arrays of distances; tolerance 0 keeps all."""
+    import numpy as np
+
+    if tolerance <= 0 or len(points) < 3:
+        return list(range(len(points)))
+    at = np.asarray(points, float)
+    keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while todo:
+        i, j = todo.pop()
+        if j - i < 2:
+            continue
+        a, way, inner = at[i], at[j] - at[i], at[i + 1 : j]
+        span = float(way @ way)
+        t = np.clip((inner - a) @ way / span, 0.0, 1.0) if span else np.zeros(len(inner))
+        off = ((inner - a - t[:, None] * way) ** 2).sum(1)
+        far = int(off.argmax())
+        if off[far] > tolerance * tolerance:
+            keep.add(i + 1 + far)
+            todo += [(i, i + 1 + far), (i + 1 + far, j)]
+    return sorted(keep)
+
+
 def simplify(points: list[tuple[float, float]], tolerance: float) -> list[int]:
     """Indices kept by recursive farthest-point simplification, done with a stack; tolerance 0 keeps all."""
     if tolerance <= 0 or len(points) < 3:
@@ -183,14 +207,16 @@ def greedy_clusters(points: DataFrame, block: str, key: str, rank: str, lat: str
         import numpy as np
 
         pdf = pdf.sort_values([rank, lat, lon, key])
-        heads, out = [], []
-        for k, la, lo in zip(pdf[key], pdf[lat], pdf[lon]):
-            for hk, hla, hlo in heads:
-                if np.hypot((hlo - lo) * geo.METRES_PER_DEGREE_FIRST * np.cos(np.radians(la)), (hla - la) * geo.METRES_PER_DEGREE_FIRST) <= reach_m:
-                    out.append((k, hk))
-                    break
+        keys, las, los = pdf[key].tolist(), pdf[lat].to_numpy(), pdf[lon].to_numpy()
+        heads, n, out = np.zeros(len(keys), int), 0, []
+        for i, k in enumerate(keys):
+            own = heads[:n]
+            near = np.hypot((los[own] - los[i]) * geo.METRES_PER_DEGREE_FIRST * np.cos(np.radians(las[i])), (las[own] - las[i]) * geo.METRES_PER_DEGREE_FIRST) <= reach_m
+            first = int(near.argmax()) if n else 0
+            if n and near[first]:
+                out.append((k, keys[own[first]]))
             else:
-                heads.append((k, la, lo))
+                heads[n], n = i, n + 1
                 out.append((k, k))
         return pd.DataFrame(out, columns=[key, "head"])
 

@@ -12,6 +12,18 @@ def top_recent(df: DataFrame, place: Column, at: str, tie: str, k: int) -> DataF
     return df.withColumn("_place", place).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_place")
 
 
+def beyond_recent(df: DataFrame, place: str, at: str, tie: str, k: int) -> DataFrame:
+    """What lies beyond the k most recent rows of each place.
+
+    The k-th row of each place comes from ``top_recent``, which no crowded place burdens; every row is then compared with
+    it by an equi-join that keeps one row a place, so no task ranks all rows of a place. Rows of one place are distinct
+    in time and ``tie``.
+    """
+    last = top_recent(df, F.col(place), at, tie, k).where(F.col("rank") == k).select(place, F.col(at).alias("_at"), F.col(tie).alias("_tie"))
+    older = (F.col(at) < F.col("_at")) | ((F.col(at) == F.col("_at")) & (F.col(tie) > F.col("_tie")))
+    return df.join(last, place).where(older).drop("_at", "_tie")
+
+
 def disputes(notes: DataFrame, place: str, who: str, at: str, disputing: Column, maintainer: Column, now: Column, decay_days: int = 180, least: int = 2) -> DataFrame:
     """Verdict per place: (latest, accounts, maintainer_said, reported_missing).
 

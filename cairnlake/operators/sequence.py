@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def islands(df: DataFrame, by: Sequence[str], order: Sequence[str], breaks: Column, name: str = "island") -> DataFrame:
     """Number the runs of each partition: a row where ``breaks`` is true (null counts as true) starts a new one."""
@@ -144,11 +146,26 @@ def reversed_window(df: DataFrame, by: Sequence[str], order: str, break_flag: st
     return df.withColumn("step", F.row_number().over(w)).withColumn(break_flag, moved)
 
 
+def running_totals(df: DataFrame, order: str, totals: dict[str, Column]) -> DataFrame:
+    """Adds running totals over the whole table in order of ``order``, up to and with each row, without one task for all rows.
+
+    Rows are range-partitioned and written with the number of their range; the sums of the ranges (one row each) are
+    summed up in their order, and each range adds its own running totals. Equal values of ``order`` stay in one range.
+    """
+    ranged = cut(df.withColumns({f"_t{i}": c for i, c in enumerate(totals.values())}).repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    sums = [F.sum(f"_t{i}").alias(f"_s{i}") for i in range(len(totals))]
+    w = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_range").agg(*sums).select("_range", *[F.coalesce(F.sum(f"_s{i}").over(w), F.lit(0)).alias(f"_b{i}") for i in range(len(totals))])
+    own = Window.partitionBy("_range").orderBy(order)
+    out = ranged.join(F.broadcast(before), "_range")  # as many rows as there are partitions
+    return out.select(*df.columns, *[(F.col(f"_b{i}") + F.sum(f"_t{i}").over(own)).alias(n) for i, n in enumerate(totals)])
+
+
 def cumulative_miles(df: DataFrame, part: str, vertex: str, step_ft: Column) -> DataFrame:
     """Running mile over parts in order, no step across a part boundary; ``step_ft`` is the length from the vertex before in the part."""
     inside = Window.partitionBy(part).orderBy(vertex)
     own = df.withColumn("_step", F.coalesce(step_ft, F.lit(0.0)))
     own = own.withColumn("_along", F.sum("_step").over(inside))
     lengths = own.groupBy(part).agg(F.max("_along").alias("_length"))  # one row a part
-    offsets = lengths.withColumn("_offset", F.sum("_length").over(Window.orderBy(part)) - F.col("_length")).drop("_length")
+    offsets = running_totals(lengths, part, {"_until": F.col("_length")}).select(part, (F.col("_until") - F.col("_length")).alias("_offset"))
     return own.join(offsets, part).withColumn("mile", (F.col("_offset") + F.col("_along")) / 5280.0).drop("_step", "_along", "_offset")

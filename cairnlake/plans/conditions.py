@@ -133,10 +133,11 @@ def j15_covering(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j23_covers(spark: SparkSession, d: str) -> DataFrame:
-    """Notes of maintainers, and whether another maintainer's note lies within a mile by the same account."""
-    rows = notes(spark, d).where("reporter_type = 'maintainer' and mile is not null").select("id", "reporter_id", "mile")
-    other = rows.select(F.col("id").alias("o"), F.col("reporter_id").alias("r"), F.col("mile").alias("m"))
-    on = (rows.reporter_id == other.r) & (rows.id != other.o) & (F.abs(rows.mile - other.m) <= 1.0)
+    """Notes of maintainers, and whether another maintainer's note lies within a mile by the same account; met by whole miles."""
+    rows = notes(spark, d).where("reporter_type = 'maintainer' and mile is not null").select("id", "reporter_id", "mile").withColumn("bin", F.floor("mile"))
+    near = F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)]))
+    other = rows.select(F.col("id").alias("o"), F.col("reporter_id").alias("r"), F.col("mile").alias("m"), near.alias("b"))
+    on = (rows.reporter_id == other.r) & (rows.bin == other.b) & (rows.id != other.o) & (F.abs(rows.mile - other.m) <= 1.0)
     covered = rows.join(other, on, "left_semi").select("id", F.lit(True).alias("c"))
     return rows.select("id").join(covered, "id", "left").select("id", F.coalesce("c", F.lit(False)).alias("covered"))
 
@@ -147,8 +148,7 @@ def k02_near_mile(spark: SparkSession, d: str) -> DataFrame:
 
 def k05_evicted(spark: SparkSession, d: str) -> DataFrame:
     """What lies beyond the twelve newest of each place."""
-    w = Window.partitionBy("poi_id").orderBy(F.desc("observed_at"), "id")
-    return notes(spark, d).where("poi_id is not null").withColumn("rn", F.row_number().over(w)).where("rn > 12").select("id", "poi_id")
+    return N.beyond_recent(notes(spark, d).where("poi_id is not null").select("id", "poi_id", "observed_at"), "poi_id", "observed_at", "id", 12).select("id", "poi_id")
 
 
 def k06_queue(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import nearby, planning, tiles
 from ..session import cut, own_folder, table
 from ..sources import geojson
 from ..streaming import walks
+from . import trail
 from .places import current_places
 
 
@@ -88,15 +91,15 @@ def w35_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g02_projected(spark: SparkSession, d: str) -> DataFrame:
-    """Positions through the conic and Mercator projections and back: the greatest error in degrees."""
+    """Positions in the conic and the Mercator projection, in decimetres, and whether both lead back to a millionth of a degree."""
     p = current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude")))
     x, y = geo.albers(F.col("longitude"), F.col("latitude"))
     u, v = geo.mercator(F.col("longitude"), F.col("latitude"))
-    rows = p.select("longitude", "latitude", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+    rows = p.select("poi_key", "longitude", "latitude", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
     bx, by = geo.albers_inverse(F.col("x"), F.col("y"))
     mx, my = geo.mercator_inverse(F.col("u"), F.col("v"))
-    worst = F.max(F.greatest(F.abs(bx - F.col("longitude")), F.abs(by - F.col("latitude")), F.abs(mx - F.col("longitude")), F.abs(my - F.col("latitude"))))
-    return rows.agg(F.count(F.lit(1)).alias("n"), (worst < 1e-6).alias("exact"))
+    worst = F.greatest(F.abs(bx - F.col("longitude")), F.abs(by - F.col("latitude")), F.abs(mx - F.col("longitude")), F.abs(my - F.col("latitude")))
+    return rows.select("poi_key", *[F.round(c, 1).alias(c) for c in ("x", "y", "u", "v")], (worst < 1e-6).alias("exact"))
 
 
 def g07_areas(spark: SparkSession, d: str) -> DataFrame:
@@ -213,6 +216,39 @@ _TILE = "cast(floor((({lon}) + 180) / 360 * {n}) as integer) as x, cast(floor((1
 _TX = "cast(floor(({0} + 180) / 360 * 1024) as integer)"
 _TY = "cast(floor((1 - ln(tan(radians({0})) + 1 / cos(radians({0}))) / pi()) / 2 * 1024) as integer)"
 
+#: The conic's figures again, from their definition, for the SQL twin.
+_ECC = math.sqrt(2 / 298.257222101 - 1 / 298.257222101**2)
+_Q = f"((1 - {_ECC**2!r}) * ({{0}} / (1 - {_ECC**2!r} * {{0}} * {{0}}) - ln((1 - {_ECC!r} * {{0}}) / (1 + {_ECC!r} * {{0}})) / (2 * {_ECC!r})))"
+
+
+def _q(lat: float) -> float:
+    s = math.sin(math.radians(lat))
+    return (1 - _ECC**2) * (s / (1 - _ECC**2 * s * s) - math.log((1 - _ECC * s) / (1 + _ECC * s)) / (2 * _ECC))
+
+
+def _m(lat: float) -> float:
+    s = math.sin(math.radians(lat))
+    return math.cos(math.radians(lat)) / math.sqrt(1 - _ECC**2 * s * s)
+
+
+_CONE_N = (_m(29.5) ** 2 - _m(45.5) ** 2) / (_q(45.5) - _q(29.5))
+_CONE_C = _m(29.5) ** 2 + _CONE_N * _q(29.5)
+_Q0 = repr(_q(23.0))
+_RHO = f"(6378137.0 * sqrt({_CONE_C!r} - {_CONE_N!r} * {{0}}) / {_CONE_N!r})"
+
+_PRICE = "(case when abs(m[j + 1] - m[i]) > {t} then 2.25 else 1.0 end * power(abs(m[j + 1] - m[i]) - {t}, 2) + case when c[j + 1] then power(0.02 * {t}, 2) else 0 end)"
+_REACH = "case when len(list_filter(range(1, j + 1), lambda i: abs(m[j + 1] - m[i]) <= 25)) > 0 then list_filter(range(1, j + 1), lambda i: abs(m[j + 1] - m[i]) <= 25) else [j] end"
+_HIKES = "h as (select hike, list(mile order by mile) as m, list(camp order by mile) as c, count(*) as n from st group by 1)"
+#: The cheapest way to every stop, one stop a step, and the way back from the last one.
+_PLAN = _HIKES + """, sv(hike, m, c, n, j, cost, back) as (select hike, m, c, n, 1::bigint, [0.0::double], [0::bigint] from h union all
+select hike, m, c, n, j + 1, list_append(cost, b.k), list_append(back, b.i) from (select *, list_sort(list_transform(""" + _REACH + ", lambda i: {{'k': cost[i] + " + _PRICE.format(t="{target}") + """, 'i': i}}))[1] as b from sv where j < n)),
+wy(hike, m, back, at_, k) as (select hike, m, back, n, 0 from sv where j = n union all select hike, m, back, back[at_], k + 1 from wy where at_ > 1)"""
+_EXACT = _HIKES + """, sv(hike, m, c, n, j, t, cost, back) as (select hike, m, c, n, 1::bigint, (m[n] - m[1]) / 20, [list_concat([0.0::double], list_transform(range(20), lambda x: null::double))], [list_transform(range(20), lambda x: 0::bigint)] from h where n > 20 union all
+select hike, m, c, n, j + 1, t, list_append(cost, list_concat([null::double], list_transform(b, lambda x: x.k))), list_append(back, list_transform(b, lambda x: x.i)) from (
+  select *, list_transform(range(1, 21), lambda d: list_sort(list_transform(list_filter(""" + _REACH + ", lambda i: cost[i][d] is not null), lambda i: {'k': cost[i][d] + " + _PRICE.format(t="t") + """, 'i': i}))[1]) as b from sv where j < n)),
+wy(hike, m, back, at_, k) as (select hike, m, back, n, 0 from sv where j = n and cost[n][21] is not null union all select hike, m, back, back[at_][20 - k], k + 1 from wy where k < 20)"""
+_PLANNED = "select hike, cast(row_number() over (partition by hike order by k desc) as integer) as day, lag_ as from_mile, mile as to_mile from (select hike, k, m[at_] as mile, lag(m[at_]) over (partition by hike order by k desc) as lag_ from wy) where lag_ is not null"
+
 SQL = {
     "j08_crossings": f"""with {_SEG}, post as (select i * 10 + 5 as x from range(0, 49) t(i)), h as (select line, seg, y0 + (y1 - y0) * (post.x - x0) / (x1 - x0) as y, post.x from s join post on post.x between least(x0, x1) and greatest(x0, x1) and floor(least(x0, x1) / 10) = (post.x - 5) / 10)
 select line, seg, round(x::double, 4) as x, round(y, 4) as y from h where y between 0 and 500""",
@@ -220,7 +256,16 @@ select line, seg, round(x::double, 4) as x, round(y, 4) as y from h where y betw
     "w24_calibrated": """with m as (select l_orderkey as line, l_linenumber as a, max(round(l_quantity, 2)) as mile from lineitem group by 1, 2), r as (select line, count(*) * sum(a * mile) - sum(a) * sum(mile) < 0 as reversed from m group by 1) select reversed, count(*) as n from m join r using (line) group by 1""",
     "w26_resampled": """with l as (select p_partkey as line, p_size::double as len, sum(p_size::double) over (order by p_partkey) - p_size as off, row_number() over (order by p_partkey) as n from part),
 i as (select *, unnest(generate_series(case when n = 1 then 0 else cast(floor(off / 25) as bigint) + 1 end, cast(floor((off + len) / 25) as bigint))) as k from l) select line, k * 25.0::double - off as along, k * 25.0::double as total from i""",
-    "g02_projected": f"with {_P} select count(*) as n, true as exact from u",
+    "g02_projected": f"""with {_P}, a as (select poi_key, longitude as lo, latitude as la, sin(radians(latitude)) as s from u), q as (select *, {_Q.format("s")} as q from a)
+select poi_key, round({_RHO.format("q")} * sin({_CONE_N!r} * radians(lo + 96)), 1) as x, round({_RHO.format(_Q0)} - {_RHO.format("q")} * cos({_CONE_N!r} * radians(lo + 96)), 1) as y, round(lo * 20037508.342789244 / 180, 1) as u, round(ln((1 + s) / (1 - s)) / 2 * 6378137, 1) as v, true as exact from q""",
+    "j33_miles": f"""with {_NEAR}, mk as (select line, (seq * 10)::double as a, seq * 10 / 100.0::double + line * 5 as m from v where seq % 10 = 0), e as (select line, min(a) as a0, arg_min(m, a) as m0, max(a) as a1, arg_max(m, a) as m1 from mk group by 1),
+k as (select point, any_value(near.along) as x, any_value(a0) as a0, any_value(m0) as m0, any_value(a1) as a1, any_value(m1) as m1, max(case when a <= along then a end) as la, arg_max(m, case when a <= along then a end) as lm, min(case when a > along then a end) as ha, arg_min(m, case when a > along then a end) as hm from near join e using (line) join mk using (line) group by 1)
+select point, round(case when x <= a0 then m0 - (a0 - x) / 1609.344 when x >= a1 then m1 + (x - a1) / 1609.344 else lm + (hm - lm) * (x - la) / (ha - la) end, 3) as mile from k""",
+    "a24_held_out": f"""with {_V}, m0 as (select line, x as a, x / 100 + y / 1000 as m, row_number() over (partition by line order by x) as n, count(*) over (partition by line) as c from v where seq % 5 = 0), f as (select * from m0 where c >= 4 and n % 2 = 1), t as (select * from m0 where c >= 4 and n % 2 = 0),
+e as (select line, min(a) as a0, arg_min(m, a) as m0, max(a) as a1, arg_max(m, a) as m1 from f group by 1), k as (select t.line, t.a as x, t.m as y, a0, m0, a1, m1, max(case when f.a <= t.a then f.a end) as la, arg_max(f.m, case when f.a <= t.a then f.a end) as lm, min(case when f.a > t.a then f.a end) as ha, arg_min(f.m, case when f.a > t.a then f.a end) as hm from t join e on e.line = t.line join f on f.line = t.line group by 1, 2, 3, 4, 5, 6, 7),
+r as (select abs(case when x <= a0 then m0 - (a0 - x) / 100 when x >= a1 then m1 + (x - a1) / 100 else lm + (hm - lm) * (x - la) / (ha - la) end - y) as e from k) select round(quantile_cont(e, 0.5), 6) as median, round(quantile_cont(e, 0.95), 6) as p95, round(max(e), 6) as worst from r""",
+    "dp1_days": f"""with recursive st as (select p_partkey % 20 as hike, (p_partkey // 20 * 5 + p_size % 5)::double as mile, max((p_size % 2 = 0)::int) = 1 as camp from part group by 1, 2), {_PLAN.format(target="14.0")} {_PLANNED}""",
+    "dp2_exact": f"""with recursive n0 as (select max(p_partkey) + 1 as n, ceil((max(p_partkey) + 1) / 50)::bigint as hikes from part), st as (select (p_partkey * hikes) // n as hike, (p_partkey * 5 + p_size % 5)::double as mile, max((p_size % 2 = 0)::int) = 1 as camp from part, n0 group by 1, 2), {_EXACT} {_PLANNED}""",
     "g07_areas": f"""with {_V}, r as (select *, lead(x) over w as nx, lead(y) over w as ny, first_value(x) over w as fx, first_value(y) over w as fy, count(*) over (partition by line) as n from v window w as (partition by line order by seq))
 select line, round(case when any_value(n) >= 3 then abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2 else 0 end, 3) as area from r group by 1""",
     "g13_tiles": f"with {_P} select {_TILE.format(lon='longitude', lat='latitude', n=256)}, count(*) as n from u group by 1, 2",
@@ -237,6 +282,7 @@ select event_id, rest_after, cast(sum(rest_after::int) over (partition by user_i
 s as (select route, case when prev is null then abs(mile - new) else abs(new - prev) + abs(mile - new) - abs(mile - prev) end as cost, i as slot from q union all select route, abs(new - mile), n from q where i = n - 1)
 select route, cast(slot as integer) as slot, cost from (select *, row_number() over (partition by route order by cost, slot desc) as rn from s) where rn = 1""",
     "snk01_features": f"with {_P} select poi_key, known_type, longitude, latitude from u",
+    "st02_stream": trail.SQL["st02_direction"],
     "st_windows": "select ts::date as day, event_type, count(*) as n from events group by 1, 2",
     "st08_once": "select reporter_type, count(distinct id) as n from field_notes group by 1",
     "st01_stream": """with f as (select *, case when (value > 20) is distinct from lag(value > 20) over (partition by user_id order by ts) then 1 else 0 end as b from events), i as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as i from f),

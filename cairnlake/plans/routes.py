@@ -12,7 +12,7 @@ from ..operators import notes as N
 from ..operators import routes as R
 from ..operators import sequence as S
 from ..session import cut, table
-from . import conditions, trail, warehouse
+from . import conditions, lines, trail, warehouse
 from .conditions import closures, notes
 from .places import current_places
 
@@ -485,5 +485,9 @@ select c.id, case when s.id is not null and e.id is not null then s.mile else st
     "x42_placed": f"""with {_V}, w as (select id, lat, lon, mile as stored from n where observation in ('closed', 'damaged')), s as {_near("select id, lat, lon from w where lat is not null and lon is not null")} select w.id, coalesce(s.mile, stored) as mile from w left join s on s.id = w.id where coalesce(s.mile, stored) is not null""",
     "j49_anchored": f"""with {_V}, {_C} select id, round(arg_min(start_mile_marker + round(vm * 2) / 2 - vm, (round(abs(start_mile_marker - vm), 6), vm)), 4) as mile from c join v on start_mile_marker between vm - 25 and vm + 25 group by 1""",
     "x43_dispute": f"""with {_P}, dd as ({conditions.SQL["a07_disputes"]}) select case when reported_missing is null then 'none' when reported_missing then 'missing' else 'answered' end as state, count(*) as n from p left join dd on poi_id = poi_key group by 1""",
+    "dp3_via": f"""with recursive s0 as (select p_partkey // 40 as hk, (p_partkey % 40 * 5 + p_size % 5)::double as mile, max((p_size % 2 = 0)::int) = 1 as camp from part group by 1, 2), ends as (select distinct hk from s0), st as (select hk * 2 as hike, mile, camp from s0 where mile > 0 and mile < 100 union all select hk * 2, unnest([0.0, 100.0])::double, false from ends union all select hk * 2 + 1, mile, camp from s0 where mile > 100 and mile < 200 union all select hk * 2 + 1, unnest([100.0, 200.0])::double, false from ends), {lines._PLAN.format(target="14.0")}, pd as ({lines._PLANNED}) select hike // 2 as hike, cast(row_number() over (partition by hike // 2 order by hike, day) as integer) as day, from_mile, to_mile from pd""",
+    "dp5_absorbed": f"""with recursive {_CAND}, st as (select * from k), {lines._EXACT.replace("20", "6").replace("[21]", "[7]").replace("range(1, 21)", "range(1, 7)")}, pd as ({lines._PLANNED}) select hike, count(*) as days, round(avg(to_mile - from_mile), 4) as average from pd group by 1""",
+    "dp6_shifted": f"""with recursive {_CAND}, st as (select * from k), {lines._PLAN.format(target="14.0")}, pd as ({lines._PLANNED}) select hike, count(*) as days, count(*) - 6 as shift, cast(date '2026-05-10' + cast(count(*) - 6 as integer) as date) as finish from pd group by 1""",
     "dp4_candidates": f"with {_CAND} select * from k",
 }
+SQL["x40_choices"] = f"with a as ({SQL['dp5_absorbed']}), s as ({SQL['dp6_shifted']}) select s.hike, average, shift, finish from s left join a using (hike)"

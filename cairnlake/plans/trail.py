@@ -276,7 +276,38 @@ i as (select *, sum(brk) over (partition by reporter_id order by mile rows unbou
 r as (select reporter_id, any_value(reporter_type) as reporter_type, round(min(mile) - 0.25, 4) as "start", round(max(mile) + 0.25, 4) as "end", count(*) as n from i group by reporter_id, island)"""
 _HAV = "2 * {r} * asin(least(1.0, sqrt(power(sin((radians(lat) - radians(pa)) / 2), 2) + cos(radians(pa)) * cos(radians(lat)) * power(sin((radians(lon) - radians(po)) / 2), 2))))"
 
+def _climb_steps(rows: str) -> str:
+    """CTE st: the state after each level of ``rows`` (k, i, v, th): a climb counts once a fall of th follows; open ones at the end."""
+    return f"""st(k, i, th, gain, low, high, way) as (select k, i, th, 0.0::double, v, v, 0 from {rows} where i = 1 union all
+select r.k, r.i, r.th, case when way = 1 and v <= high - r.th and v <= high then gain + high - low else gain end,
+  case when way = 1 and v <= high - r.th and v <= high then v when way = 1 then low when way = -1 and v >= low + r.th and v >= low then low else least(low, v) end,
+  case when way = 1 then greatest(high, v) when way = -1 and v >= low + r.th and v >= low then v when way = -1 then high else greatest(high, v) end,
+  case when way = 1 then case when v <= high - r.th and v <= high then -1 else 1 end when way = -1 then case when v >= low + r.th and v >= low then 1 else -1 end
+    when greatest(high, v) - least(low, v) >= r.th then case when v >= greatest(high, v) then 1 else -1 end else 0 end
+from st join {rows} r on r.k = st.k and r.th = st.th and r.i = st.i + 1),
+climbed as (select k, th, gain + case when way = 1 then high - low else 0 end as gain from st where (k, th, i) in (select (k, th, max(i)) from {rows} group by k, th))"""
+
+
+def _runs_of(breaks: str, thresholds: str) -> str:
+    return f"""{_E}, br as (select *, sum(case when {breaks} then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from e),
+rw as (select (user_id, run) as k, row_number() over (partition by user_id, run, th order by ts, event_id) as i, level as v, th::double as th from br, (select unnest([{thresholds}]) as th) where level is not null)"""
+
+
+_SERIES = f"{_E}, rs as (select user_id as k, event_id as at_, row_number() over (partition by user_id order by ts, event_id) as i, level as v, value from e{{}})"
+
 SQL = {
+    "w07_ascent": f"with recursive {_runs_of('level is null or part_start', '30')}, {_climb_steps('rw')} select k[1] as user_id, round(sum(gain), 3) as ascent from climbed group by 1",
+    "a42_sweep": f"with recursive {_runs_of('level is null', '0, 1, 2, 3, 4, 6, 10')}, {_climb_steps('rw')} select th as threshold, round(sum(gain), 3) as gain from climbed group by 1",
+    "w30_next_climb": f"""with recursive {_SERIES.format(" where level is not null")}, st(k, i, la, lv, ha, hv, way, n, ft, fp) as (select k, i, at_, v, at_, v, 0, 0, null::bigint, null::bigint from rs where i = 1 union all
+select r.k, r.i, case when way = 1 and v <= hv and v <= hv - 300 then at_ when way <> 1 and v <= lv then at_ else la end, case when way = 1 and v <= hv and v <= hv - 300 then v when way <> 1 and v <= lv then v else lv end,
+  case when way = -1 then case when v > lv and v >= lv + 300 then at_ else ha end when v > hv then at_ else ha end, case when way = -1 then case when v > lv and v >= lv + 300 then v else hv end when v > hv then v else hv end,
+  case when way = 1 then case when v <= hv and v <= hv - 300 then -1 else 1 end when way = -1 then case when v > lv and v >= lv + 300 then 1 else -1 end when greatest(hv, v) - least(lv, v) >= 300 then case when v >= greatest(hv, v) then 1 else -1 end else 0 end,
+  n + (way = 1 and v <= hv and v <= hv - 300)::int, coalesce(ft, case when way = 1 and v <= hv and v <= hv - 300 then la end), coalesce(fp, case when way = 1 and v <= hv and v <= hv - 300 then ha end) from st join rs r on r.k = st.k and r.i = st.i + 1),
+o as (select k, n + (way = 1)::int as n, coalesce(ft, case when way = 1 then la end) as ft, coalesce(fp, case when way = 1 then ha end) as fp from st where (k, i) in (select (k, max(i)) from rs group by k)) select k as user_id, ft as trough, fp as peak, n::bigint as n_climbs from o where n > 0""",
+    "st02_direction": f"""with recursive {_SERIES.format("")}, st(k, i, anchor, way, turns) as (select k, i, value, null::varchar, 0::bigint from rs where i = 1 union all
+select r.k, r.i, case when abs(r.value - anchor) < 40 then anchor else r.value end, case when abs(r.value - anchor) < 40 then way when r.value > anchor then 'NOBO' else 'SOBO' end,
+  turns + (abs(r.value - anchor) >= 40 and (case when r.value > anchor then 'NOBO' else 'SOBO' end) is distinct from way)::int from st join rs r on r.k = st.k and r.i = st.i + 1)
+select k as user_id, anchor, way, turns from st where (k, i) in (select (k, max(i)) from rs group by k)""",
     "w03_runs": f"{_RUNS} select * from r",
     "w04_pinned": f"""{_RUNS} select reporter_id, case when "start" = min("start") over w then 0.0 else "start" end as "start", case when "end" = max("end") over w then 2200.0 else "end" end as "end" from r window w as (partition by reporter_id)""",
     "w10_raw_ascent": _RAW.format("case when level is not null and p is not null then level - p end", "ascent"),

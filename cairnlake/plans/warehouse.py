@@ -56,8 +56,8 @@ def prj14_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prj16_rejected(spark: SparkSession, d: str) -> DataFrame:
-    """Rows without a position are named, not dropped silently."""
-    return _raw(spark, d).where("latitude is null or longitude is null").groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("poi_key")), ",").alias("keys"))
+    """Rows without a position are named, not dropped silently: a row for each key of a layer."""
+    return _raw(spark, d).where("latitude is null or longitude is null").select("layer", "poi_key").distinct()
 
 
 def flt01_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +323,7 @@ SQL = {
     "j01_mapped": "select event_type, case event_type when 'click' then 'view' when 'view' then 'view' when 'purchase' then 'buy' end as meaning, case event_type when 'click' then 'high' when 'view' then 'low' when 'purchase' then 'high' end as confidence, count(*) as n from events group by 1, 2, 3",
     "prj13_keys": f"select distinct poi_key, poi_key = md5({_SRC} || '-' || {_SID}) as same from dim_pois",
     "prj14_unified": f"with {_P} select source || ':' || source_id as id, known_type as poi_type, coalesce(name, '') as name, latitude as lat, longitude as lon from u where known_type is not null",
-    "prj16_rejected": f"select {_SRC} as layer, count(*) as n, string_agg(distinct poi_key, ',' order by poi_key) as keys from dim_pois where latitude is null or longitude is null group by 1",
+    "prj16_rejected": f"select distinct {_SRC} as layer, poi_key from dim_pois where latitude is null or longitude is null",
     "flt01_gate": f"with {_P} select poi_key, source from u a where source <> 'osm_water' or exists (select 1 from u b where b.known_type in ('shelter', 'campsite') and abs(a.latitude - b.latitude) < 0.0014 and {_HAV} <= 150)",
     "j19_deduped_water": f"with {_P}, w as (select * from u where known_type = 'water') select poi_key from w a where source = 'osm_water' and not exists (select 1 from w b where b.source <> 'osm_water' and {_HAV} <= 25)",
     "j24_pairs": f"with {_P} select a.poi_key as a, b.poi_key as b, round({_HAV}, 2) as metres from u a join u b on a.known_type = b.known_type and a.poi_key < b.poi_key and abs(a.latitude - b.latitude) < 0.001 where {_HAV} <= 60",
