@@ -49,7 +49,7 @@ def a33_hike_figures(spark: SparkSession, d: str) -> DataFrame:
 
 def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = cut(current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude"))))
-    return p, cut(sites.grouped(p, "poi_key", "known_type", "name", "latitude", "longitude"))
+    return p, cut(sites.grouped(p, "poi_key", "known_type", "name", "latitude", "longitude").withColumn("metres", F.round("metres", 2)))
 
 
 def a37_composition(spark: SparkSession, d: str) -> DataFrame:
