@@ -3,32 +3,24 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.plain import USABLE_LAT, USABLE_LON, plain
+from ..functions.plain import POI_TYPES, USABLE_LAT, USABLE_LON, plain
 from ..operators import nearby
 from ..session import cut
 
-#: Words of a name that tell the kind of place, in their usual spellings.
-KIND_WORDS = {
-    "shelter": ("shelter", "shltr", "hut", "leanto", "lean to"),
-    "campsite": ("campsite", "camp", "tentsites", "tentsite", "tent site", "tent sites"),
-    "water": ("spring", "spr", "piped spring", "water source", "water"),
-    "privy": ("privy", "toilet", "outhouse"),
-    "resupply": ("town", "village", "twp"),
-    "viewpoint": ("vista", "view", "viewpoint", "overlook"),
-    "parking": ("parking area", "parking", "pkg", "trailhead"),
-    "crossing": ("crossing", "ford"),
-}
+@dataclass
+class Vocabulary:
+    """What words of names mean, learnt from the records themselves: kinds they tell, long forms of short ones, parts of a site."""
 
-#: Short forms of words in names.
-SHORT_FORMS = {"ntch": "notch", "mtn": "mountain", "swp": "swamp", "rdg": "ridge", "smt": "summit", "mdw": "meadow", "cr": "creek", "brk": "brook", "hllw": "hollow", "lwr": "lower", "upr": "upper", "n": "north", "s": "south", "e": "east", "w": "west"}
+    kinds: dict[str, str] = field(default_factory=dict)
+    short: dict[str, str] = field(default_factory=dict)
+    parts: list[str] = field(default_factory=list)
 
-#: Words that tell parts of one site apart.
-PART_WORDS = ("upper", "lower", "old", "new", "north", "south", "east", "west")
 
 def repaired(lat: Column, lon: Column) -> Column:
     """Struct (lat, lon) of the place a damaged position describes; null if a part is null, NaN or zero or no reading fits.
@@ -43,35 +35,95 @@ def repaired(lat: Column, lon: Column) -> Column:
     return F.when(fits, F.struct(y.alias("lat"), x.alias("lon")))
 
 
-def _tokens(name: Column) -> Column:
-    """Words of a name: lower case, possessives dropped, joined words split at a capital, short forms written out."""
+def _words(name: Column) -> Column:
+    """Words of a name: lower case, possessives dropped, joined words split at a capital."""
     spaced = F.regexp_replace(name, r"(\p{Ll})(\p{Lu})", "$1 $2")
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(spaced), r"'s\b|’s\b", ""), r"[^\p{L}\p{N}]+", " "))
-    long = F.create_map(*[F.lit(x) for kv in SHORT_FORMS.items() for x in kv])
-    words = F.transform(F.split(flat, " "), lambda w: F.coalesce(long[w], w))
-    return F.filter(words, lambda w: w != "")
+    return F.filter(F.split(flat, " "), lambda w: w != "")
+
+
+def _lookup(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]) if table else F.create_map().cast("map<string,string>")
+
 
+def _shortens(a: str, b: str) -> bool:
+    """Whether a word is another one with letters left out, from the same first letter."""
+    rest = iter(b)
+    return len(a) < len(b) and a[0] == b[0] and all(c in rest for c in a)
 
-def name_parts(name: Column) -> Column:
+
+def learn_vocabulary(records: DataFrame, source: str, name: str, kind: str, lat: str, lon: str, most: int = 2_000, least: int = 10, purity: float = 0.9, votes: int = 3, share: float = 0.01) -> Vocabulary:
+    """Learn from all records what the words of their names mean; three aggregates, of which at most ``most`` rows each reach the driver.
+
+    A word tells a kind if it occurs in at least ``least`` squares of a quarter degree and ``purity`` of its records of
+    known type have one type. Names that are equal but for one word, within a square of some 300 m and for one kind, show
+    what words are to each other. Where they are of different sources and one word is the other with letters left out,
+    the rarer is a form of the more frequent; where they are of one source, which lists a place once, and unlike, they
+    tell parts of a site apart, if that is so for a ``share`` of the word's records. Both need ``votes`` squares.
+    """
+    at = repaired(F.col(lat), F.col(lon))
+    rows = records.select(_words(F.coalesce(F.col(name), F.lit(""))).alias("w"), F.col(source).alias("s"), F.col(kind).alias("t"), at.alias("p")).where("p is not null and size(w) > 0")
+    rows = rows.select("w", "s", "t", F.floor(F.col("p.lat") * 4).alias("y4"), F.floor(F.col("p.lon") * 4).alias("x4"), F.floor(F.col("p.lat") * 333).alias("y"), F.floor(F.col("p.lon") * 250).alias("x"))
+    seen = rows.where("t is not null").select(F.explode(F.array_distinct("w")).alias("word"), "t", "y4", "x4").groupBy("word", "t", "y4", "x4").agg(F.count(F.lit(1)).alias("n"))
+    by_kind = seen.groupBy("word", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("squares"))
+    told = by_kind.groupBy("word").agg(F.sum("n").alias("n"), F.max(F.struct("n", "t", "squares")).alias("top")).where((F.col("top.squares") >= least) & (F.col("top.n") >= purity * F.col("n")))
+    kinds = {r["word"]: r["t"] for r in told.orderBy(F.desc("n"), "word").limit(most).select("word", "top.t").collect()}
+    found = Vocabulary(kinds)
+    told_kind, bare = _kind_told(F.col("w"), found), F.array_sort(F.filter("w", lambda w: _lookup(kinds)[w].isNull()))
+    named = rows.select(bare.alias("b"), F.coalesce(told_kind, "t").alias("k"), "s", "y", "x").where("k is not null and size(b) > 0")
+    without = lambda i: F.filter("b", lambda w, j: j != i)
+    each = F.transform(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.struct(F.get("b", i).alias("w"), F.array_join(without(i), " ").alias("rest")))
+    loose = named.select("k", "s", "y", "x", F.inline(F.concat(each, F.array(F.struct(F.lit("").alias("w"), F.array_join("b", " ").alias("rest")))))).where("rest <> ''")
+    apart = loose.groupBy("k", "y", "x", "rest").agg(F.min("w").alias("a"), F.max("w").alias("b"), (F.min("s") == F.max("s")).alias("one")).where("a <> b")
+    pairs = apart.groupBy("a", "b", "one").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes)
+    often = rows.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    for side in "ab":
+        pairs = pairs.join(often.select(F.col("word").alias(side), F.col("n").alias(f"n_{side}")), side, "left")
+    pairs = pairs.orderBy(F.desc("n"), "a", "b").limit(most).collect()
+    counts: dict[str, int] = {}
+    apart_in_one: dict[str, int] = {}
+    for r in pairs:
+        (_, _, rare), (_, _, common) = sorted(((n or 0, len(w), w) for w, n in ((r["a"], r["n_a"]), (r["b"], r["n_b"]))))
+        alike = bool(r["a"]) and (_shortens(r["a"], r["b"]) or _shortens(r["b"], r["a"]))
+        if alike and not r["one"]:
+            found.short.setdefault(rare, common)
+        if r["one"] and not alike:
+            for w, n in ((r["a"], r["n_a"]), (r["b"], r["n_b"])):
+                if w:
+                    counts[w], apart_in_one[w] = n, apart_in_one.get(w, 0) + r["n"]
+    found.short = {w: c for w, c in found.short.items() if c not in found.short}
+    found.parts = sorted({found.short.get(w, w) for w, n in apart_in_one.items() if n >= share * counts[w]})
+    return found
+
+
+def _kind_told(words: Column, vocabulary: Vocabulary) -> Column:
+    """The kind told by the last word that tells one."""
+    told = F.array_compact(F.transform(words, lambda w: _lookup(vocabulary.kinds)[w]))
+    return F.get(told, F.size(told) - 1)
+
+
+def name_parts(name: Column, vocabulary: Vocabulary) -> Column:
     """Struct (kind, base, sorted, part): the kind a name tells, its other words, the same sorted, and what tells parts of a site apart."""
-    words = F.array_join(_tokens(name), " ")
-    every = sorted((w for ws in KIND_WORDS.values() for w in ws), key=len, reverse=True)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(words, r"\b(" + "|".join(every) + r")\b", " "), " +", " "))
-    kind = F.coalesce(*[F.when(words.rlike(r"\b(" + "|".join(ws) + r")\b"), F.lit(k)) for k, ws in KIND_WORDS.items() if k != "water"], F.when(words.rlike(r"\b(" + "|".join(KIND_WORDS["water"]) + r")\b"), F.lit("water")))
-    is_part = lambda w: w.rlike(r"^[0-9]+$") | w.isin(*PART_WORDS)
-    tokens = F.filter(F.split(bare, " "), lambda w: w != "")
+    words = _words(name)
+    kinds, long = _lookup(vocabulary.kinds), _lookup(vocabulary.short)
+    is_part = lambda w: w.rlike(r"^[0-9]+$") | w.isin(*(vocabulary.parts or [""]))
+    tokens = F.transform(F.filter(words, lambda w: kinds[w].isNull()), lambda w: F.coalesce(long[w], w))
     rest = F.filter(tokens, lambda w: ~is_part(w))
-    return F.struct(kind.alias("kind"), F.array_join(rest, "").alias("base"), F.array_join(F.array_sort(rest), "").alias("sorted"), F.array_join(F.array_sort(F.filter(tokens, is_part)), " ").alias("part"))
+    return F.struct(_kind_told(words, vocabulary).alias("kind"), F.array_join(rest, "").alias("base"), F.array_join(F.array_sort(rest), "").alias("sorted"), F.array_join(F.array_sort(F.filter(tokens, is_part)), " ").alias("part"))
 
 
-def described(records: DataFrame, key: str, source: str, name: str, kind: str, confidence: str, lat: str, lon: str) -> DataFrame:
+def described(records: DataFrame, key: str, source: str, name: str, kind: str, confidence: str, lat: str, lon: str, vocabulary: Vocabulary | None = None) -> DataFrame:
     """(key, source, kind, base, sorted, part, lat, lon) of the records that can be matched: those whose position can be read.
 
     The kind is what the name tells, else the type that nearly all (95 %) of the source's records have (one row a
-    source, from an aggregate), else the record's known type unless its confidence is low, else null.
+    source, from an aggregate), else the record's known type unless its confidence is low, else null. The vocabulary of
+    names is learnt from the records unless it is given.
     """
+    if vocabulary is None:
+        records = cut(records.select(*dict.fromkeys((key, source, name, kind, confidence, lat, lon))))
+        vocabulary = learn_vocabulary(records, source, name, kind, lat, lon)
     at = repaired(F.col(lat), F.col(lon))
-    rows = records.select(F.col(key).alias("key"), F.col(source).alias("source"), name_parts(F.coalesce(F.col(name), F.lit(""))).alias("_n"), F.col(kind).alias("_type"), plain(F.col(confidence)).alias("_c"), at.alias("_at")).where("_at is not null and source is not null and key is not null")
+    rows = records.select(F.col(key).alias("key"), F.col(source).alias("source"), name_parts(F.coalesce(F.col(name), F.lit("")), vocabulary).alias("_n"), F.col(kind).alias("_type"), plain(F.col(confidence)).alias("_c"), at.alias("_at")).where("_at is not null and source is not null and key is not null")
     usual = rows.where("_type is not null").groupBy("source", "_type").count()
     usual = usual.groupBy("source").agg(F.max_by("_type", F.struct("count", "_type")).alias("_usual"), (F.max("count") / F.sum("count")).alias("_share")).where("_share >= 0.95").select("source", "_usual")
     rows = rows.join(usual, "source", "left")
@@ -200,8 +252,8 @@ def candidates(rows: DataFrame, reach_m: float = REACH_M, name_reach_m: float =
     nothing is cut off. Attributes are attached to the pairs that are left.
     """
     rows = cut(rows.withColumn("num", F.monotonically_increasing_id()))
-    code = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KIND_WORDS)])
-    placed = banded(rows.select("num", "key", F.xxhash64("source").alias("source"), "lat", "lon", "base", code.alias("kind")), len(KIND_WORDS) + 1)
+    code = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(POI_TYPES)])
+    placed = banded(rows.select("num", "key", F.xxhash64("source").alias("source"), "lat", "lon", "base", code.alias("kind")), len(POI_TYPES) + 1)
     block = ["band", "kind"]
     crowded = cut(nearby.crowded_blocks(placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")), block, "_n", "_n", hot))
     side = lambda s: placed.select(*block, *[F.col(c).alias(f"{c}_{s}") for c in ("by_name", "num", "key", "source", "lat", "lon")])

@@ -200,15 +200,47 @@ def test_repaired_positions(spark, lat, lon, place):
     assert (tuple(round(v, 9) for v in got) if got else None) == place
 
 
+WORDS = matching.Vocabulary({"hut": "shelter", "shelter": "shelter", "spr": "water", "spring": "water", "piped": "water"}, {"gp": "gap", "lwr": "lower", "mtn": "mountain"}, ["lower", "upper"])
+
+
 def test_name_parts(spark):
-    names = ["Hut, Ostlum's Creek #3", "UPPER NARBYGAP Spr.", "NarbyGap Piped Spring", None, "Lwr Dramby Mtn"]
-    df = spark.createDataFrame([(n,) for n in names], "n string").select(matching.name_parts(F.coalesce("n", F.lit(""))).alias("p"))
-    assert [tuple(r.p) for r in df.collect()] == [("shelter", "ostlumcreek", "creekostlum", "3"), ("water", "narbygap", "narbygap", "upper"), ("water", "narbygap", "gapnarby", ""), (None, "", "", ""), (None, "drambymountain", "drambymountain", "lower")]
+    names = ["Hut, Ostlum's Creek #3", "UPPER NARBYGAP Spr.", "NarbyGap Piped Spring", None, "Lwr Dramby Mtn", "Spring Shelter"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(matching.name_parts(F.coalesce("n", F.lit("")), WORDS).alias("p"))
+    assert [tuple(r.p) for r in df.collect()] == [("shelter", "ostlumcreek", "creekostlum", "3"), ("water", "narbygap", "narbygap", "upper"), ("water", "narbygap", "gapnarby", ""), (None, "", "", ""), (None, "drambymountain", "drambymountain", "lower"), ("shelter", "", "", "")]
+    bare = df.sparkSession.range(1).select(matching.name_parts(F.lit("Old Hut 2"), matching.Vocabulary()).alias("p")).first()["p"]
+    assert tuple(bare) == (None, "oldhut", "hutold", "2")
+
+
+def test_vocabulary_is_learnt(spark):
+    """Hut and lean-to tell a kind; rdg is a form of ridge; upper and lower tell apart what one source lists in one place."""
+    rows = []
+    for i in range(40):
+        lat, lon, base = 34.0 + i * 0.3, -84.0 + i * 0.3, f"B{chr(97 + i % 26)}rn{chr(97 + i // 26)}"
+        rows += [("s1", f"{base} Ridge {'Hut' if i % 2 else 'Tavern'}", "shelter" if i % 2 else "resupply", lat, lon), ("s2", f"{base} Rdg {'Hut' if i % 2 else 'Tavern'}", "shelter" if i % 2 else "resupply", lat, lon)]
+        rows += [("s3", f"Upper {base} Well", "water", lat, lon), ("s3", f"Lower {base} Well", "water", lat, lon), ("s4", None, None, lat, lon), ("s4", f"{base} Ridge", None, None, lon)]
+    df = spark.createDataFrame(rows, "source string, name string, t string, lat double, lon double")
+    v = matching.learn_vocabulary(df, "source", "name", "t", "lat", "lon")
+    assert v.kinds == {"hut": "shelter", "tavern": "resupply", "well": "water", "upper": "water", "lower": "water"} or {k: v.kinds[k] for k in ("hut", "tavern", "well")} == {"hut": "shelter", "tavern": "resupply", "well": "water"}
+    assert v.short == {"rdg": "ridge"}
+    assert matching.learn_vocabulary(df.limit(0), "source", "name", "t", "lat", "lon") == matching.Vocabulary()
+
+
+def test_blocking_finds_all_near_pairs(spark):
+    """Bands of positions against brute force: pairs of other sources within the reach, at the edge too, whatever their names."""
+    rng = np.random.default_rng(8)
+    n = 700
+    lat, lon = 41 + rng.random(n) * 0.01, -75 + rng.random(n) * 0.01
+    df = spark.createDataFrame([(f"k{i:03}", f"s{i % 3}", "water", "", "", "", float(a), float(o)) for i, (a, o) in enumerate(zip(lat, lon))], "key string, source string, kind string, base string, sorted string, part string, lat double, lon double")
+    got = {(r.id_l, r.id_r) for r in matching.candidates(df, hot=64).collect()}
+    h = np.sin((np.radians(lat)[:, None] - np.radians(lat)[None, :]) / 2) ** 2 + np.cos(np.radians(lat))[:, None] * np.cos(np.radians(lat))[None, :] * np.sin((np.radians(lon)[:, None] - np.radians(lon)[None, :]) / 2) ** 2
+    near = np.argwhere(2 * 6371008.8 * np.arcsin(np.sqrt(h)) <= matching.REACH_M)
+    want = {(f"k{i:03}", f"k{j:03}") for i, j in near if i < j and i % 3 != j % 3}
+    assert got <= want and len(want) > 5_000 and len(got) >= 0.999 * len(want)
 
 
 def places(spark, rows):
     df = spark.createDataFrame([(*r, 1.0, "z") for r in rows], "k string, source string, name string, t string, c string, lat double, lon double, metres double, part string")
-    return matching.described(df, "k", "source", "name", "t", "c", "lat", "lon")
+    return matching.described(df, "k", "source", "name", "t", "c", "lat", "lon", WORDS)
 
 
 def test_candidates_and_matches(spark):

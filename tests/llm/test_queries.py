@@ -14,4 +14,5 @@ def test_same_as_sql(spark, duck, same_rows, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(spark, name):
-    assert queries.QUERIES[name](spark, SMALL).count() >= (name != "p10_found")  # the few labels of the smallest tables teach too little
+    # the twelve labels of the smallest tables teach nothing, so abuse is looked for in the next larger ones
+    assert queries.QUERIES[name](spark, SMALL.replace("sf0.001", "sf0.01") if name == "p10_found" else SMALL).count() > 0
