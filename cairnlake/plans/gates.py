@@ -12,7 +12,8 @@ from ..functions.plain import POI_TYPES, plain, plain_source, plain_source_id, u
 from ..operators import identity, nearby, tables
 from ..operators import notes as N
 from ..operators import sequence as S
-from ..session import table
+from ..session import exists, only_file, own_folder, table
+from ..sources import geojson
 from . import trail, warehouse
 from .conditions import closures, notes
 from .places import current_places
@@ -397,7 +398,95 @@ def x18_regressions(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("before", before).where("n < before * 0.9").select("source", "load_no", "before", "n")
 
 
-QUERIES = {f.__name__: f for f in (st05_precedence, st09_credited, st10_markers, q05_verdicts, q08_baseline, q09_reproduced, q10_minimums, q11_reach, q12_sections, q13_receipts, q14_published, q15_retired, q17_projects, q18_problems, a25_gate, a34_worst, a35_summary, m06_edges, m09_appended, s02_labelled, s03_present, s04_keys, j31_differing, j32_snapped_markers, j34_destination, j35_junction, j38_attributed, j44_recent_ids, j45_flagged, j46_routed, flt09_spurs, flt11_passed, flt12_hidden, flt14_published, prj07_bridges, prj08_renamed, prj10_markers, prj15_all_sources, sca03_structures, sca06_mile_queries, sca08_blazes, sca10_cleaned, sca13_licences, sca16_joined, sca17_keys, sca18_feature_ids, d04_days, d05_naive, d08_directions, x17_promised, x18_regressions)}
+def prj09_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Club sections with an upstream column's misspelt name put right and its values plain."""
+    raw = table(spark, d, "supplier").withColumnsRenamed({"s_name": "ACROYNM", "s_nationkey": "REGION"})
+    return raw.withColumnRenamed("ACROYNM", "acronym").select(F.col("s_suppkey").cast("string").alias("global_id"), F.trim("acronym").alias("acronym"), F.col("REGION").cast("int").alias("region"))
+
+
+def prj11_side_trails(spark: SparkSession, d: str) -> DataFrame:
+    """Side trails: id, status, type, blaze as the source has it, length; nothing is decoded yet."""
+    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("global_id"), F.col("p_brand").alias("status"), F.col("p_type").alias("raw_type"), F.substring("p_name", 1, 3).alias("raw_blaze"), F.col("p_retailprice").alias("length_ft"))
+
+
+def prj12_treadway(spark: SparkSession, d: str) -> DataFrame:
+    """Treadway: the year built is null where it is 0, and comments that say nothing are null."""
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").cast("string").alias("global_id"), F.when(F.col("p_size") % 10 != 0, F.col("p_size") + 1930).alias("year_built"), F.when(F.length(F.trim("p_name")) > 12, F.trim("p_name")).alias("comments"))
+
+
+def src02_registered(spark: SparkSession, d: str) -> DataFrame:
+    """Layers of a registry loaded where their file is there; the others are named, never an error."""
+    names = ["closures", "dim_pois", "no_such_layer", "poi_sources"]
+    out = []
+    for name in names:
+        there = exists(spark, f"{d}/{name}.parquet")
+        out.append(table(spark, d, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("layer"), "n") if there else spark.createDataFrame([(name, None)], "layer string, n long"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def src09_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A layer written in pages and read again: those up to the last page count."""
+    folder = own_folder(spark, "pages")
+    p = current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude")))
+    f = F.struct(F.lit("Feature").alias("type"), F.col("poi_key").alias("id"), F.struct("name").alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"))
+    page = F.pmod(F.ascii("poi_key"), F.lit(4))
+    for n in range(4):  # four pages; the third says it is the last
+        line = p.where(page == n).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(f).alias("features"), F.lit(n != 2).alias("exceededTransferLimit"))).alias("value"))
+        part = f"{folder}/part-{n}"
+        line.coalesce(1).write.mode("append").text(part)
+        only_file(spark, part, f"{folder}/pages/page-{n}.json")
+    read = geojson.read_pages(spark, f"{folder}/pages", "2026-06-01 00:00:00")
+    return read.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+def r03_owned(spark: SparkSession, d: str) -> DataFrame:
+    """Places that a half-open one-degree cell owns by its west and south edge, by cell."""
+    p = current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude")))
+    return p.select(F.floor("longitude").alias("west"), F.floor("latitude").alias("south")).groupBy("west", "south").agg(F.count(F.lit(1)).alias("n"))
+
+
+def a36_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Contributions by table: one count each."""
+    names = ("field_notes", "closures", "poi_pairs", "doc_labels")
+    return reduce(DataFrame.unionByName, [table(spark, d, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names])
+
+
+def x26_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Hours of each account: all that are not disputed, those claimed of them, and on how many days."""
+    e = table(spark, d, "events")
+    good = F.col("event_type") != "error"
+    return e.groupBy("user_id").agg(F.sum(F.when(good, F.floor("value")).otherwise(0)).alias("hours"), F.sum(F.when(good & (F.col("event_type") == "purchase"), F.floor("value")).otherwise(0)).alias("claimed"), F.countDistinct(F.when(good, F.to_date("ts"))).alias("days"))
+
+
+def x27_quoted_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Notes through quoted text and back: commas, quotes and line ends survive."""
+    folder = own_folder(spark, "quoted")
+    text_ = F.concat(F.lit('say "'), F.coalesce("note", F.lit("")), F.lit('", twice,\nplease'))
+    rows = notes(spark, d).where("note is not null").select("id", text_.alias("t"))
+    rows.write.mode("append").option("quoteAll", True).option("escape", '"').csv(folder)
+    back = spark.read.schema("id string, t string").option("multiLine", True).option("escape", '"').csv(folder)
+    return back.select("id", F.length("t").cast("long").alias("n"))
+
+
+def x19_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts checked against what was recorded: path, existence and digest, each with what is wrong with it."""
+    s = table(spark, d, "poi_snapshots").select("load_no", "poi_key", F.md5(F.coalesce("name", F.lit(""))).alias("h")).groupBy("load_no", "poi_key").agg(F.max("h").alias("h"))
+    was = s.where("load_no = 2").select("poi_key", F.col("h").alias("was"), F.concat(F.lit("pois/"), "poi_key").alias("path"))
+    j = was.join(s.where("load_no = 3").select("poi_key", "h"), "poi_key", "left")
+    each = F.array_compact(F.array(F.when(~F.col("path").rlike("^pois/[0-8a-f]"), F.lit("path")), F.when(F.col("h").isNull(), F.lit("missing")), F.when(F.col("h") != F.col("was"), F.lit("digest"))))
+    return j.select("poi_key", F.array_join(each, ",").alias("problems")).where("problems <> ''")
+
+
+def x09_spur_records(spark: SparkSession, d: str) -> DataFrame:
+    """Spurs by id with their junction's end, their destination and the junction's mile on the shared axis (X-10)."""
+    c = closures(spark, d).select("id", "start_mile_marker", "end_mile_marker")
+    out = j34_destination(spark, d).join(j35_junction(spark, d), "id").join(c, "id")
+    mile = F.when(F.col("junction") == "start", F.col("start_mile_marker")).when(F.col("junction") == "end", F.col("end_mile_marker"))
+    return out.select("id", "state", "destination", "junction", mile.alias("mile"))
+
+
+QUERIES = {f.__name__: f for f in (prj09_sections, prj11_side_trails, prj12_treadway, src02_registered, src09_pages, r03_owned, a36_kept, x09_spur_records, x19_artifacts, x26_totals, x27_quoted_csv, st05_precedence, st09_credited, st10_markers, q05_verdicts, q08_baseline, q09_reproduced, q10_minimums, q11_reach, q12_sections, q13_receipts, q14_published, q15_retired, q17_projects, q18_problems, a25_gate, a34_worst, a35_summary, m06_edges, m09_appended, s02_labelled, s03_present, s04_keys, j31_differing, j32_snapped_markers, j34_destination, j35_junction, j38_attributed, j44_recent_ids, j45_flagged, j46_routed, flt09_spurs, flt11_passed, flt12_hidden, flt14_published, prj07_bridges, prj08_renamed, prj10_markers, prj15_all_sources, sca03_structures, sca06_mile_queries, sca08_blazes, sca10_cleaned, sca13_licences, sca16_joined, sca17_keys, sca18_feature_ids, d04_days, d05_naive, d08_directions, x17_promised, x18_regressions)}
 
 _N = "n as (select distinct * from field_notes)"
 _C = "c as (select distinct * from closures)"
@@ -472,4 +561,17 @@ select poi_key, array_to_string(list_filter(list_transform(w, lambda x: case x w
     "d08_directions": f"with {_C} select id, case when end_mile_marker >= start_mile_marker then 'northbound' else 'southbound' end as way from c",
     "x17_promised": f"with {_N} select distinct poi_id as poi_key from n where poi_id is not null and poi_id not in (select poi_key from poi_snapshots)",
     "x18_regressions": f"with s as (select {_SRC} as source, load_no, count(distinct poi_key) as n from poi_snapshots group by 1, 2), b as (select *, lag(n) over (partition by source order by load_no) as before from s) select source, load_no, before, n from b where n < before * 0.9",
+    "prj09_sections": "select s_suppkey::varchar as global_id, trim(s_name) as acronym, s_nationkey::integer as region from supplier",
+    "prj11_side_trails": "select p_partkey::varchar as global_id, p_brand as status, p_type as raw_type, substring(p_name, 1, 3) as raw_blaze, p_retailprice as length_ft from part",
+    "prj12_treadway": "select p_partkey::varchar as global_id, case when p_size % 10 <> 0 then p_size + 1930 end as year_built, case when length(trim(p_name)) > 12 then trim(p_name) end as comments from part",
+    "src02_registered": "select 'closures' as layer, count(*) as n from closures union all select 'dim_pois', count(*) from dim_pois union all select 'poi_sources', count(*) from poi_sources union all select 'no_such_layer', null",
+    "src09_pages": f"with {_P} select count(*) as n, min(poi_key) as first, max(poi_key) as last from u where ascii(poi_key) % 4 <= 2",
+    "r03_owned": f"with {_P} select cast(floor(longitude) as bigint) as west, cast(floor(latitude) as bigint) as south, count(*) as n from u group by 1, 2",
+    "a36_kept": "select 'field_notes' as name, count(*) as n from field_notes union all select 'closures', count(*) from closures union all select 'poi_pairs', count(*) from poi_pairs union all select 'doc_labels', count(*) from doc_labels",
+    "x26_totals": "select user_id, cast(sum(case when event_type <> 'error' then floor(value) else 0 end) as bigint) as hours, cast(sum(case when event_type = 'purchase' then floor(value) else 0 end) as bigint) as claimed, count(distinct case when event_type <> 'error' then ts::date end) as days from events group by 1",
+    "x27_quoted_csv": f"with {_N} select id, length(note) + length('say \"\", twice,') + 7 as n from n where note is not null",
+    "x19_artifacts": "with hs as (select load_no, poi_key, max(md5(coalesce(name, ''))) as h from poi_snapshots group by 1, 2), j as (select a.poi_key, concat_ws(',', case when not regexp_matches('pois/' || a.poi_key, '^pois/[0-8a-f]') then 'path' end, case when b.h is null then 'missing' end, case when b.h <> a.h then 'digest' end) as problems from hs a left join hs b on b.load_no = 3 and a.poi_key = b.poi_key where a.load_no = 2) select * from j where problems <> ''",
+    "x09_spur_records": f"""with {_SPURS}, k as (select *, coalesce(b is null or a <= b, false) as ats from sp), f as (select *, case when ats then b else a end as far, case when ats then bp else ap end as place from k),
+s as (select *, case when a is null and b is null then 'no junction' when a <= 25 and b <= 25 then 'ambiguous' when far is null or far > 150 then 'nothing there' else 'resolved' end as state, case when a is null and b is null then null when a <= 25 and b <= 25 then null when b is null or a <= b then 'start' else 'end' end as junction from f)
+select s.id, state, case when state = 'resolved' then place end as destination, junction, case junction when 'start' then start_mile_marker when 'end' then end_mile_marker end as mile from s join c on c.id = s.id""",
 }

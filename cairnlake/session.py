@@ -67,6 +67,20 @@ def discard(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return bool(files.exists(at))
+
+
+def only_file(spark: SparkSession, folder: str, to: str) -> None:
+    """Move the one data file of a written folder to a path of its own."""
+    files, at = _file_system(spark, folder)
+    (part,) = [s.getPath() for s in files.listStatus(at) if s.getPath().getName().startswith("part-")]
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    files.mkdirs(target.getParent())
+    files.rename(part, target)
+
+
 def rename(spark: SparkSession, path: str, to: str) -> bool:
     """Rename a folder; false if there is none."""
     files, at = _file_system(spark, path)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard, rename
+from ..session import discard, exists, rename
 
 POINT = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.DoubleType()))])
 FEATURE = T.StructType([T.StructField("type", T.StringType()), T.StructField("id", T.StringType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("geometry", POINT)])
@@ -26,11 +25,22 @@ def read_points(spark: SparkSession, path: str, loaded_at: str) -> DataFrame:
 
 def point_features(raw: DataFrame, loaded_at: str) -> DataFrame:
     """The features of collections, one row each; lines of one collection each are as good as whole files."""
-    f = raw.select(F.explode("features").alias("f"), F.input_file_name().alias("_source_path"))
+    path = F.col("_source_path") if "_source_path" in raw.columns else F.input_file_name().alias("_source_path")
+    f = raw.select(F.explode("features").alias("f"), path)
     xy = F.when(F.col("f.geometry.type") == "Point", F.col("f.geometry.coordinates"))
     return f.select(F.col("f.id").alias("id"), F.col("f.properties").alias("properties"), F.get(xy, F.lit(0)).alias("lon"), F.get(xy, F.lit(1)).alias("lat"), F.lit(loaded_at).cast("timestamp_ntz").alias("_loaded_at"), "_source_path")
 
 
+def read_pages(spark: SparkSession, folder: str, loaded_at: str) -> DataFrame:
+    """Features of a layer that was fetched page by page into page-<n>.json; what comes after the first page that says it is the last is left over from an older fetch and not read."""
+    schema = T.StructType([*COLLECTION.fields, T.StructField("exceededTransferLimit", T.BooleanType())])
+    raw = spark.read.schema(schema).json(folder).select("*", F.col("_metadata.file_path").alias("_source_path"))
+    raw = raw.withColumn("_page", F.regexp_extract("_source_path", r"page-([0-9]+)\.json", 1).cast("int"))
+    last = raw.where("not coalesce(exceededTransferLimit, false)").agg(F.min("_page").alias("_last"))  # one row
+    kept = raw.join(F.broadcast(last), F.col("_last").isNull() | (F.col("_page") <= F.col("_last")))
+    return point_features(kept.select("features", "_source_path"), loaded_at)
+
+
 def registered_layers(registry: DataFrame, extras: list[tuple[str, str]]) -> DataFrame:
     """(name) of the tables that load: the registry's layers without a kind, and fixed extra ones (provider, key)."""
     more = registry.sparkSession.createDataFrame(extras, "provider string, key string")
@@ -40,7 +50,7 @@ def registered_layers(registry: DataFrame, extras: list[tuple[str, str]]) -> Dat
 
 def read_registered(spark: SparkSession, folder: str, layers: list[tuple[str, str]], loaded_at: str) -> tuple[dict[str, DataFrame], list[str]]:
     """Layers (name, file) that exist, and the names of those that don't: a missing file is skipped, never an error."""
-    found = {name: read_points(spark, os.path.join(folder, file), loaded_at) for name, file in layers if os.path.exists(os.path.join(folder, file))}
+    found = {name: read_points(spark, f"{folder}/{file}", loaded_at) for name, file in layers if exists(spark, f"{folder}/{file}")}
     return found, [name for name, _ in layers if name not in found]
 
 
