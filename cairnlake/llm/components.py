@@ -16,13 +16,22 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _touching(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Edges with whether their ends, ia and ib, are in the frontier."""
+    on = lambda end: frontier.select(F.col("v").alias(end), F.lit(True).alias(f"i{end}"))
+    return edges.join(on("a"), "a", "left").join(on("b"), "b", "left").select("a", "b", F.coalesce("ia", F.lit(False)).alias("ia"), F.coalesce("ib", F.lit(False)).alias("ib"))
+
+
 def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, str | None]:
     """Take the component of the highest-degree vertex out by breadth-first frontier joins.
 
     Returns the vertices reached, the edges left, and the least vertex reached. The hub's own edges, which may be a third
-    of all, are met by filters and never shuffled by the hub. If the frontier isn't exhausted after ``rounds`` joins (a
-    long chain hangs on the component), the reached part is contracted to its least vertex in the edges that cross its
-    border, so the propagation that follows stays exact.
+    of all, are met by filters and never shuffled by the hub. Every round splits the edges that are left into those that
+    touch the frontier, whose other ends are the next one, and the rest, which is all the next round reads: an edge is
+    done with as soon as it is touched, so what is left has no end among the vertices reached and the anti-join comes
+    with the split. If the frontier isn't exhausted after ``rounds`` joins (a long chain hangs on the component), the
+    reached part is contracted to its least vertex in the edges that cross its border, so the propagation that follows
+    stays exact.
     """
     spark = edges.sparkSession
     top = _both_ways(edges).groupBy("a").count().agg(F.max(F.struct("count", "a")).alias("t")).first()["t"]
@@ -30,26 +39,22 @@ def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, str | Non
         return spark.createDataFrame([], "v string"), edges, None
     hub = top["a"]
     rest = edges.where((F.col("a") != hub) & (F.col("b") != hub))
-    frontier = edges.where((F.col("a") == hub) | (F.col("b") == hub)).select(F.when(F.col("a") == hub, F.col("b")).otherwise(F.col("a")).alias("v"))
-    reached = cut(frontier.union(spark.createDataFrame([(hub,)], "v string")))
-    frontier, done = reached.where(F.col("v") != hub), False
+    frontier = cut(edges.where((F.col("a") == hub) | (F.col("b") == hub)).select(F.when(F.col("a") == hub, F.col("b")).otherwise(F.col("a")).alias("v")))
+    reached = frontier.union(spark.createDataFrame([(hub,)], "v string"))
     for _ in range(rounds):
-        step = _both_ways(rest).join(frontier.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
-        frontier = cut(step.join(reached, "v", "left_anti"))
+        split = cut(_touching(rest, frontier))
+        rest = split.where(~F.col("ia") & ~F.col("ib")).select("a", "b")
+        frontier = cut(split.where(F.col("ia") != F.col("ib")).select(F.when(F.col("ia"), F.col("b")).otherwise(F.col("a")).alias("v")).distinct())
         if frontier.isEmpty():
-            done = True
             break
         reached = reached.union(frontier)
     reached = cut(reached)
     least = reached.agg(F.min("v")).first()[0]
-    if done:
-        left = rest.join(reached.withColumnRenamed("v", "a"), "a", "left_anti")
-        return reached, left, least
-    inside = reached.withColumn("_in", F.lit(True))
-    tagged = rest.join(inside.select(F.col("v").alias("a"), F.col("_in").alias("_ia")), "a", "left").join(inside.select(F.col("v").alias("b"), F.col("_in").alias("_ib")), "b", "left")
-    a = F.when(F.col("_ia"), F.lit(least)).otherwise(F.col("a"))
-    b = F.when(F.col("_ib"), F.lit(least)).otherwise(F.col("b"))
-    return reached, tagged.where("_ia is null or _ib is null").select(*_ordered(a, b)).distinct(), least
+    if frontier.isEmpty():
+        return reached, rest, least
+    border = _touching(rest, frontier).where(~(F.col("ia") & F.col("ib")))
+    ends = [F.when(F.col(f"i{c}"), F.lit(least)).otherwise(F.col(c)) for c in "ab"]
+    return reached, border.select(*_ordered(*ends)).distinct(), least
 
 
 def _to_roots(point: DataFrame) -> DataFrame:
