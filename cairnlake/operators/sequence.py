@@ -86,6 +86,18 @@ def ascent(levels: Column, threshold: float) -> Column:
     return F.when(F.size(levels) < 2, F.lit(0.0)).otherwise(total)
 
 
+def ascent_over_gaps(levels: Column, threshold: float) -> Column:
+    """Confirmed climb over an array of levels with gaps: each stretch between nulls counts by itself."""
+    empty = F.array().cast("array<double>")
+
+    def add(runs: Column, v: Column) -> Column:
+        last = F.element_at(runs, -1)
+        return F.when(v.isNull(), F.concat(runs, F.array(empty))).otherwise(F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.concat(last, F.array(v)))))
+
+    runs = F.aggregate(F.transform(levels, lambda v: v.cast("double")), F.array(empty), add)
+    return F.aggregate(F.transform(runs, lambda r: ascent(r, threshold)), F.lit(0.0), lambda a, v: a + v)
+
+
 def profile_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], level: str, part_start: str | None = None) -> DataFrame:
     """(by, run, levels): unbroken runs of a profile, split at null levels and at part starts, levels in order.
 

@@ -40,6 +40,24 @@ def w07_ascent(spark: SparkSession, d: str) -> DataFrame:
     return S.ascent_over_profile(events(spark, d), ["user_id"], ORDER, LEVEL, 30.0, "part_start").select("user_id", F.round("ascent", 3).alias("ascent"))
 
 
+def w08_over_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """The same over lists with gaps: the walks of each user and month as one list, null where a level is missing."""
+    ordered = F.array_sort(F.collect_list(F.struct(*ORDER, F.col(LEVEL).alias("v"))))
+    lists = events(spark, d).groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.transform(ordered, lambda x: x["v"]).alias("levels"))
+    return lists.select("user_id", "month", F.round(S.ascent_over_gaps(F.col("levels"), 30.0), 3).alias("ascent"))
+
+
+def k13_newest(spark: SparkSession, d: str) -> DataFrame:
+    """Each account's log, newest first, by place in it; equal times by id."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))
+    return table(spark, d, "events").select("event_id", place.cast("long").alias("place"))
+
+
+def k14_oldest(spark: SparkSession, d: str) -> DataFrame:
+    """The queue of what is claimed, oldest first: the two hundred that come next."""
+    return table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "ts").orderBy("ts", "event_id").limit(200)
+
+
 def w10_raw_ascent(spark: SparkSession, d: str) -> DataFrame:
     """With no dead band every rise counts; runs break at null levels."""
     return S.ascent_over_profile(events(spark, d), ["user_id"], ORDER, LEVEL, 0.0).select("user_id", F.round("ascent", 3).alias("ascent"))
@@ -253,7 +271,7 @@ def j36_interval_lookup(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (w03_runs, w04_pinned, w07_ascent, w10_raw_ascent, w12_descent, w13_reversed, w14_merged, w16_gaps, w18_left, w19_clipped, w20_overlap, w21_axis, w23_interpolated, w27_rising, w28_implausible, w30_next_climb, w31_sections, w33_walking_days, w34_leading, w37_previous, st01_divergence, st02_direction, st03_steps, st04_daily, a18_quartiles, a19_reach, a21_upper_median, a22_envelope, a32_totals, a41_part_miles, a42_sweep, a43_rising_total, n01_minutes, n08_windows, j36_interval_lookup)}
+QUERIES = {f.__name__: f for f in (w03_runs, w04_pinned, w07_ascent, w08_over_gaps, k13_newest, k14_oldest, w10_raw_ascent, w12_descent, w13_reversed, w14_merged, w16_gaps, w18_left, w19_clipped, w20_overlap, w21_axis, w23_interpolated, w27_rising, w28_implausible, w30_next_climb, w31_sections, w33_walking_days, w34_leading, w37_previous, st01_divergence, st02_direction, st03_steps, st04_daily, a18_quartiles, a19_reach, a21_upper_median, a22_envelope, a32_totals, a41_part_miles, a42_sweep, a43_rising_total, n01_minutes, n08_windows, j36_interval_lookup)}
 
 _E = "e as (select *, case when event_type <> 'error' then round(value * 10) end as level, event_type = 'signup' as part_start from events)"
 _SPANS = "s as (select user_id, (event_id % 997)::double as a, (event_id % 997 + 1 + event_id % 7)::double as b from events)"
@@ -297,6 +315,11 @@ _SERIES = f"{_E}, rs as (select user_id as k, event_id as at_, row_number() over
 
 SQL = {
     "w07_ascent": f"with recursive {_runs_of('level is null or part_start', '30')}, {_climb_steps('rw')} select k[1] as user_id, round(sum(gain), 3) as ascent from climbed group by 1",
+    "w08_over_gaps": f"""with recursive {_E}, br as (select *, strftime(ts, '%Y-%m') as month, sum(case when level is null then 1 else 0 end) over (partition by user_id, strftime(ts, '%Y-%m') order by ts, event_id rows unbounded preceding) as run from e),
+rw as (select (user_id, month, run) as k, row_number() over (partition by user_id, month, run order by ts, event_id) as i, level as v, 30.0::double as th from br where level is not null), {_climb_steps('rw')}, t as (select k[1] as user_id, k[2] as month, sum(gain) as g from climbed group by 1, 2)
+select user_id, month, round(coalesce(g, 0), 3) as ascent from (select distinct user_id, month from br) left join t using (user_id, month)""",
+    "k13_newest": "select event_id, row_number() over (partition by user_id order by ts desc, event_id) as place from events",
+    "k14_oldest": "select event_id, ts from events where event_type = 'purchase' order by ts, event_id limit 200",
     "a42_sweep": f"with recursive {_runs_of('level is null', '0, 1, 2, 3, 4, 6, 10')}, {_climb_steps('rw')} select th as threshold, round(sum(gain), 3) as gain from climbed group by 1",
     "w30_next_climb": f"""with recursive {_SERIES.format(" where level is not null")}, st(k, i, la, lv, ha, hv, way, n, ft, fp) as (select k, i, at_, v, at_, v, 0, 0, null::bigint, null::bigint from rs where i = 1 union all
 select r.k, r.i, case when way = 1 and v <= hv and v <= hv - 300 then at_ when way <> 1 and v <= lv then at_ else la end, case when way = 1 and v <= hv and v <= hv - 300 then v when way <> 1 and v <= lv then v else lv end,
