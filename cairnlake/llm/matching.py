@@ -35,15 +35,18 @@ def repaired(lat: Column, lon: Column) -> Column:
     return F.when(fits, F.struct(y.alias("lat"), x.alias("lon")))
 
 
-def _words(name: Column) -> Column:
+def name_words(name: Column) -> Column:
     """Words of a name: lower case, possessives dropped, joined words split at a capital."""
     spaced = F.regexp_replace(name, r"(\p{Ll})(\p{Lu})", "$1 $2")
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(spaced), r"'s\b|’s\b", ""), r"[^\p{L}\p{N}]+", " "))
     return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
-def _lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]) if table else F.create_map().cast("map<string,string>")
+def _lookup(table: dict[str, str], word: Column) -> Column:
+    """What a word stands for in a table, null if it isn't there. A set is asked first, as maps are searched from end to end."""
+    if not table:
+        return F.lit(None).cast("string")
+    return F.when(word.isin(*table), F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])[word])
 
 
 def _shortens(a: str, b: str) -> bool:
@@ -52,8 +55,8 @@ def _shortens(a: str, b: str) -> bool:
     return len(a) < len(b) and a[0] == b[0] and all(c in rest for c in a)
 
 
-def learn_vocabulary(records: DataFrame, source: str, name: str, kind: str, lat: str, lon: str, most: int = 2_000, least: int = 10, purity: float = 0.9, votes: int = 3, share: float = 0.01) -> Vocabulary:
-    """Learn from all records what the words of their names mean; three aggregates, of which at most ``most`` rows each reach the driver.
+def learn_vocabulary(records: DataFrame, source: str, words: str, kind: str, at: str, most: int = 2_000, least: int = 10, purity: float = 0.9, votes: int = 3, share: float = 0.01) -> Vocabulary:
+    """Learn from all records what the words of their names mean (``words``, an array, and ``at``, a struct lat and lon, may be empty and null); three aggregates, of which at most ``most`` rows each reach the driver.
 
     A word tells a kind if it occurs in at least ``least`` squares of a quarter degree and ``purity`` of its records of
     known type have one type. Names that are equal but for one word, within a square of some 300 m and for one kind, show
@@ -61,15 +64,14 @@ def learn_vocabulary(records: DataFrame, source: str, name: str, kind: str, lat:
     the rarer is a form of the more frequent; where they are of one source, which lists a place once, and unlike, they
     tell parts of a site apart, if that is so for a ``share`` of the word's records. Both need ``votes`` squares.
     """
-    at = repaired(F.col(lat), F.col(lon))
-    rows = records.select(_words(F.coalesce(F.col(name), F.lit(""))).alias("w"), F.col(source).alias("s"), F.col(kind).alias("t"), at.alias("p")).where("p is not null and size(w) > 0")
+    rows = records.select(F.col(words).alias("w"), F.col(source).alias("s"), F.col(kind).alias("t"), F.col(at).alias("p")).where("p is not null and size(w) > 0")
     rows = rows.select("w", "s", "t", F.floor(F.col("p.lat") * 4).alias("y4"), F.floor(F.col("p.lon") * 4).alias("x4"), F.floor(F.col("p.lat") * 333).alias("y"), F.floor(F.col("p.lon") * 250).alias("x"))
     seen = rows.where("t is not null").select(F.explode(F.array_distinct("w")).alias("word"), "t", "y4", "x4").groupBy("word", "t", "y4", "x4").agg(F.count(F.lit(1)).alias("n"))
     by_kind = seen.groupBy("word", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("squares"))
     told = by_kind.groupBy("word").agg(F.sum("n").alias("n"), F.max(F.struct("n", "t", "squares")).alias("top")).where((F.col("top.squares") >= least) & (F.col("top.n") >= purity * F.col("n")))
     kinds = {r["word"]: r["t"] for r in told.orderBy(F.desc("n"), "word").limit(most).select("word", "top.t").collect()}
     found = Vocabulary(kinds)
-    told_kind, bare = _kind_told(F.col("w"), found), F.array_sort(F.filter("w", lambda w: _lookup(kinds)[w].isNull()))
+    told_kind, bare = _kind_told(F.col("w"), found), F.array_sort(F.filter("w", lambda w: _lookup(kinds, w).isNull()))
     named = rows.select(bare.alias("b"), F.coalesce(told_kind, "t").alias("k"), "s", "y", "x").where("k is not null and size(b) > 0")
     without = lambda i: F.filter("b", lambda w, j: j != i)
     each = F.transform(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.struct(F.get("b", i).alias("w"), F.array_join(without(i), " ").alias("rest")))
@@ -98,16 +100,14 @@ def learn_vocabulary(records: DataFrame, source: str, name: str, kind: str, lat:
 
 def _kind_told(words: Column, vocabulary: Vocabulary) -> Column:
     """The kind told by the last word that tells one."""
-    told = F.array_compact(F.transform(words, lambda w: _lookup(vocabulary.kinds)[w]))
+    told = F.array_compact(F.transform(words, lambda w: _lookup(vocabulary.kinds, w)))
     return F.get(told, F.size(told) - 1)
 
 
-def name_parts(name: Column, vocabulary: Vocabulary) -> Column:
-    """Struct (kind, base, sorted, part): the kind a name tells, its other words, the same sorted, and what tells parts of a site apart."""
-    words = _words(name)
-    kinds, long = _lookup(vocabulary.kinds), _lookup(vocabulary.short)
+def name_parts(words: Column, vocabulary: Vocabulary) -> Column:
+    """Struct (kind, base, sorted, part): the kind the words of a name tell, the other words, the same sorted, and what tells parts of a site apart."""
     is_part = lambda w: w.rlike(r"^[0-9]+$") | w.isin(*(vocabulary.parts or [""]))
-    tokens = F.transform(F.filter(words, lambda w: kinds[w].isNull()), lambda w: F.coalesce(long[w], w))
+    tokens = F.transform(F.filter(words, lambda w: _lookup(vocabulary.kinds, w).isNull()), lambda w: F.coalesce(_lookup(vocabulary.short, w), w))
     rest = F.filter(tokens, lambda w: ~is_part(w))
     return F.struct(_kind_told(words, vocabulary).alias("kind"), F.array_join(rest, "").alias("base"), F.array_join(F.array_sort(rest), "").alias("sorted"), F.array_join(F.array_sort(F.filter(tokens, is_part)), " ").alias("part"))
 
@@ -117,13 +117,14 @@ def described(records: DataFrame, key: str, source: str, name: str, kind: str, c
 
     The kind is what the name tells, else the type that nearly all (95 %) of the source's records have (one row a
     source, from an aggregate), else the record's known type unless its confidence is low, else null. The vocabulary of
-    names is learnt from the records unless it is given.
+    names is learnt from the records unless it is given. Names and positions are read once and written down for both.
     """
-    if vocabulary is None:
-        records = cut(records.select(*dict.fromkeys((key, source, name, kind, confidence, lat, lon))))
-        vocabulary = learn_vocabulary(records, source, name, kind, lat, lon)
     at = repaired(F.col(lat), F.col(lon))
-    rows = records.select(F.col(key).alias("key"), F.col(source).alias("source"), name_parts(F.coalesce(F.col(name), F.lit("")), vocabulary).alias("_n"), F.col(kind).alias("_type"), plain(F.col(confidence)).alias("_c"), at.alias("_at")).where("_at is not null and source is not null and key is not null")
+    rows = records.select(F.col(key).alias("key"), F.col(source).alias("source"), name_words(F.coalesce(F.col(name), F.lit(""))).alias("_words"), F.col(kind).alias("_type"), plain(F.col(confidence)).alias("_c"), at.alias("_at"))
+    rows = cut(rows.where("_at is not null and source is not null and key is not null"))
+    if vocabulary is None:
+        vocabulary = learn_vocabulary(rows, "source", "_words", "_type", "_at")
+    rows = rows.withColumn("_n", name_parts(F.col("_words"), vocabulary))
     usual = rows.where("_type is not null").groupBy("source", "_type").count()
     usual = usual.groupBy("source").agg(F.max_by("_type", F.struct("count", "_type")).alias("_usual"), (F.max("count") / F.sum("count")).alias("_share")).where("_share >= 0.95").select("source", "_usual")
     rows = rows.join(usual, "source", "left")

@@ -205,9 +205,9 @@ WORDS = matching.Vocabulary({"hut": "shelter", "shelter": "shelter", "spr": "wat
 
 def test_name_parts(spark):
     names = ["Hut, Ostlum's Creek #3", "UPPER NARBYGAP Spr.", "NarbyGap Piped Spring", None, "Lwr Dramby Mtn", "Spring Shelter"]
-    df = spark.createDataFrame([(n,) for n in names], "n string").select(matching.name_parts(F.coalesce("n", F.lit("")), WORDS).alias("p"))
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(matching.name_parts(matching.name_words(F.coalesce("n", F.lit(""))), WORDS).alias("p"))
     assert [tuple(r.p) for r in df.collect()] == [("shelter", "ostlumcreek", "creekostlum", "3"), ("water", "narbygap", "narbygap", "upper"), ("water", "narbygap", "gapnarby", ""), (None, "", "", ""), (None, "drambymountain", "drambymountain", "lower"), ("shelter", "", "", "")]
-    bare = df.sparkSession.range(1).select(matching.name_parts(F.lit("Old Hut 2"), matching.Vocabulary()).alias("p")).first()["p"]
+    bare = df.sparkSession.range(1).select(matching.name_parts(matching.name_words(F.lit("Old Hut 2")), matching.Vocabulary()).alias("p")).first()["p"]
     assert tuple(bare) == (None, "oldhut", "hutold", "2")
 
 
@@ -219,10 +219,11 @@ def test_vocabulary_is_learnt(spark):
         rows += [("s1", f"{base} Ridge {'Hut' if i % 2 else 'Tavern'}", "shelter" if i % 2 else "resupply", lat, lon), ("s2", f"{base} Rdg {'Hut' if i % 2 else 'Tavern'}", "shelter" if i % 2 else "resupply", lat, lon)]
         rows += [("s3", f"Upper {base} Well", "water", lat, lon), ("s3", f"Lower {base} Well", "water", lat, lon), ("s4", None, None, lat, lon), ("s4", f"{base} Ridge", None, None, lon)]
     df = spark.createDataFrame(rows, "source string, name string, t string, lat double, lon double")
-    v = matching.learn_vocabulary(df, "source", "name", "t", "lat", "lon")
+    df = df.select("source", "t", matching.name_words(F.coalesce("name", F.lit(""))).alias("w"), matching.repaired(F.col("lat"), F.col("lon")).alias("at"))
+    v = matching.learn_vocabulary(df, "source", "w", "t", "at")
     assert v.kinds == {"hut": "shelter", "tavern": "resupply", "well": "water", "upper": "water", "lower": "water"} or {k: v.kinds[k] for k in ("hut", "tavern", "well")} == {"hut": "shelter", "tavern": "resupply", "well": "water"}
     assert v.short == {"rdg": "ridge"}
-    assert matching.learn_vocabulary(df.limit(0), "source", "name", "t", "lat", "lon") == matching.Vocabulary()
+    assert matching.learn_vocabulary(df.limit(0), "source", "w", "t", "at") == matching.Vocabulary()
 
 
 def test_blocking_finds_all_near_pairs(spark):
