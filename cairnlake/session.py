@@ -61,6 +61,17 @@ def own_folder(spark: SparkSession, stem: str) -> str:
     return path
 
 
+def ship_file(spark: SparkSession, stem: str, data: bytes) -> str:
+    """Write bytes into the shared folder, whatever its scheme, and have every executor fetch them once; returns the name ``SparkFiles.get`` takes on a worker."""
+    path = f"{own_folder(spark, stem)}/{stem}-{uuid.uuid4().hex}.bin"
+    files, at = _file_system(spark, path)
+    out = files.create(at)
+    out.write(bytearray(data))
+    out.close()
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder that nothing reads any more."""
     files, at = _file_system(spark, path)
