@@ -9,14 +9,14 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import ship_file
 
 #: Fixed value: the word split of the byte-level vocabularies.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -194,27 +194,12 @@ class Encoder:
         return [list(chain.from_iterable(map(cache.__getitem__, ws))) for ws in words]
 
 
-def _store(folder: str, block: bytes) -> str | None:
-    """Write a block into the shared folder if that is a file system path; None if not."""
-    at = urlparse(folder)
-    if at.scheme not in ("", "file"):
-        return None
-    path = os.path.join(at.path, f"lexicon-{hashlib.sha256(block).hexdigest()[:24]}.bin")
-    os.makedirs(at.path, exist_ok=True)
-    if not os.path.exists(path):
-        with open(f"{path}.{os.getpid()}", "wb") as f:
-            f.write(block)
-        os.replace(f"{path}.{os.getpid()}", path)
-    return path
-
-
 def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str, frequent: int = 50_000, longest: int = 64) -> DataFrame:
     """(key, ids): the token ids of every text without special tokens; null and empty texts give an empty list.
 
     The ``frequent`` most frequent words of the whole corpus of at most ``longest`` characters (a bound on what the
     driver holds) are compiled with their
-    ids into a transducer in the shared folder, memory-mapped by the workers; where that folder is no file system path
-    the block is broadcast. Every other word is merged exactly. Texts of any length are encoded whole; one key gives
+    ids into a transducer that every executor fetches once as a file and all its workers memory-map. Every other word is merged exactly. Texts of any length are encoded whole; one key gives
     one row for each of its rows; extra columns are ignored. ``vocabulary`` is the path of a file of base64 tokens and
     ranks, readable by the driver.
     """
@@ -227,15 +212,13 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str, frequent:
     ranks = read_ranks(data)
     words = {r["word"].encode(): merge(r["word"].encode(), ranks) for r in top}
     block = Lexicon.compile(words) if words else Lexicon.compile({b"\0": merge(b"\0", ranks)})
-    path = _store(shared_folder(spark), block)
-    shipped = spark.sparkContext.broadcast((data, None if path else block))
+    name = ship_file(spark, "lexicon", block)
+    shipped = spark.sparkContext.broadcast(data)
     token = hashlib.sha256(data + block).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if token not in _WORKER:
-            vocabulary_bytes, held = shipped.value
-            raw = np.memmap(path, np.uint8, "r") if path else np.frombuffer(held, np.uint8)
-            _WORKER[token] = Encoder(read_ranks(vocabulary_bytes), Lexicon(raw))
+            _WORKER[token] = Encoder(read_ranks(shipped.value), Lexicon(np.memmap(SparkFiles.get(name), np.uint8, "r")))
         encoder = _WORKER[token]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
