@@ -255,7 +255,8 @@ def x33_highlights(spark: SparkSession, d: str) -> DataFrame:
     """Spans that overlap miles 400 to 900, in order of their start."""
     lo, hi = F.least("start_mile_marker", "end_mile_marker"), F.greatest("start_mile_marker", "end_mile_marker")
     rows = closures(spark, d).select("id", lo.alias("start"), hi.alias("end")).where("start <= 900 and end >= 400")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("start", "id")).cast("long"))  # a few hundred published spans
+    placed = S.running_totals(rows.withColumn("order", F.struct("start", "id")), "order", {"place": F.lit(1).cast("long")})
+    return placed.drop("order")
 
 
 def x34_ascents(spark: SparkSession, d: str) -> DataFrame:
