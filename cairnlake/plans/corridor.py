@@ -395,6 +395,7 @@ select * from (select case when o.n is null then 'missing' when t.bytes is null
     "x22_quads_of_tiles": f"""with {_SEGS}, {_QUADS}, {_U}, t as (select {_LON.format("x")} as w, {_LON.format("x + 1")} as e, {_LAT.format("y + 1")} as s, {_LAT.format("y")} as n from {_tiles_sql('true')} where z = 10) select distinct quad from qd join t on west < e - 1e-10 and west + 0.125 > w + 1e-10 and south < n - 1e-10 and south + 0.125 > s + 1e-10""",
     "x20_spread": f"with k as (select distinct poi_key from dim_pois), r as (select poi_key, row_number() over (order by poi_key) - 1 as i, count(*) over () as n from k) select poi_key, i from r where i = ceil(floor(i * 40 / n) * n / 40)",
     "snk02_lines": f"with {line_queries._V}, s as (select *, lag(x) over w as px, lag(y) over w as py from v window w as (partition by line order by seq)) select line, count(*) as corners, round(coalesce(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 0), 4) as length from s group by 1",
+    "snk03_overview": f"""with recursive {line_queries._V}, {line_queries._FARTHEST.format(tol=100)}, k as (select * from v where (line, seq) in (select (line, i) from fa union select (line, j) from fa)) select line, count(*) as corners, string_agg(x::bigint || ' ' || y::bigint, ',' order by seq) as part from k group by 1""",
     "a29_merged_shards": f"with {_SHARDS} select * from mg",
     "s07_attributed": f"with {_SHARDS}, k as (select poi_key, max(loaded_at) as was from poi_snapshots where load_no = 7 group by 1) select shared, count(*) as n from mg join k using (poi_key) where stamp <> was group by 1",
 }

@@ -90,6 +90,14 @@ def w35_clusters(spark: SparkSession, d: str) -> DataFrame:
     return L.greedy_clusters(rows, "near", "poi_key", "rank", "latitude", "longitude", 50.0)
 
 
+def w35_folded(spark: SparkSession, d: str) -> DataFrame:
+    """The same clusters with the facts of their members folded into the head: sources, the first name in order, how many there are."""
+    p = cut(current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude")) & (F.col("known_type") == "water")).select("poi_key", "source", "name"))
+    m = w35_clusters(spark, d).join(p, "poi_key")
+    own = F.when(F.col("name").isNotNull(), F.struct((F.col("source") == "osm_water").cast("int"), "poi_key"))
+    return m.groupBy("head").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min_by("name", own).alias("name"), F.count(F.lit(1)).alias("n"))
+
+
 def g02_projected(spark: SparkSession, d: str) -> DataFrame:
     """Positions in the conic and the Mercator projection, in decimetres, and whether both lead back to a millionth of a degree."""
     p = current_places(spark, d).where(usable_position(F.col("latitude"), F.col("longitude")))
@@ -202,7 +210,7 @@ def st01_stream(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("alert").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (j08_crossings, j17_nearest_segment, j33_miles, a24_held_out, w24_calibrated, w26_resampled, w35_clusters, g02_projected, g07_areas, g12_simplified, g13_tiles, r01_tile_cover, r04_owners, r07_floored, src14_sampled, dp1_days, dp2_exact, dp7_rests, dp8_slots, snk01_features, st_windows, st08_once, st01_stream, st02_stream)}
+QUERIES = {f.__name__: f for f in (j08_crossings, j17_nearest_segment, j33_miles, a24_held_out, w24_calibrated, w26_resampled, w35_clusters, w35_folded, g02_projected, g07_areas, g12_simplified, g13_tiles, r01_tile_cover, r04_owners, r07_floored, src14_sampled, dp1_days, dp2_exact, dp7_rests, dp8_slots, snk01_features, st_windows, st08_once, st01_stream, st02_stream)}
 
 _V = "v as (select * from (select o_orderkey // 50 as line, o_orderkey % 50 as seq, (o_orderkey % 50 * 10)::double as x, (o_orderkey // 50 * 40 % 1000 + o_orderkey * 7919 % 23)::double as y from orders))"
 _SEG = f"{_V}, s as (select * from (select line, seq as seg, x as x0, y as y0, lead(x) over w as x1, lead(y) over w as y1 from v window w as (partition by line order by seq)) where x1 is not null)"
@@ -249,6 +257,19 @@ select hike, m, c, n, j + 1, t, list_append(cost, list_concat([null::double], li
 wy(hike, m, back, at_, k) as (select hike, m, back, n, 0 from sv where j = n and cost[n][21] is not null union all select hike, m, back, back[at_][20 - k], k + 1 from wy where k < 20)"""
 _PLANNED = "select hike, cast(row_number() over (partition by hike order by k desc) as integer) as day, lag_ as from_mile, mile as to_mile from (select hike, k, m[at_] as mile, lag(m[at_]) over (partition by hike order by k desc) as lag_ from wy) where lag_ is not null"
 
+#: Water in the order of the greedy clusters, one point a step, with the heads so far.
+_WATER = "(select poi_key, name, latitude as la, longitude as lo, s as source, row_number() over (order by (s = 'osm_water')::int, latitude, longitude, poi_key) as i from (select *, regexp_replace(lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')), '[- ]', '_', 'g') as s, row_number() over (partition by poi_key order by loaded_at desc) as rn from dim_pois) where rn = 1 and latitude between 33 and 48 and longitude between -86 and -66 and lower(regexp_replace(poi_type, '^\\s+|\\s+$', '', 'g')) = 'water')"
+_GREEDY = f"""wa as (select * from {_WATER}), gr(i, heads, key, head) as (select i, [{{'k': poi_key, 'la': la, 'lo': lo}}], poi_key, poi_key from wa where i = 1 union all
+select i, case when near is null then list_append(heads, {{'k': poi_key, 'la': la, 'lo': lo}}) else heads end, poi_key, coalesce(near, poi_key) from (
+  select wa.i, heads, poi_key, la, lo, list_filter(heads, lambda h: sqrt(power((h.lo - lo) * 111132 * cos(radians(la)), 2) + power((h.la - la) * 111132, 2)) <= 50)[1].k as near from gr join wa on wa.i = gr.i + 1))"""
+#: Spans of a line between kept vertices, split at the farthest one until none is further than the tolerance.
+_FARTHEST = """en as (select line, min(seq) as i, max(seq) as j from v group by 1), fa(line, i, j) as (select line, i, j from en union all
+select line, unnest([i, k]), unnest([k, j]) from (select fa.line, fa.i, fa.j, arg_max(m.seq, (off(m.x, m.y, a.x, a.y, b.x, b.y), -m.seq)) as k, max(off(m.x, m.y, a.x, a.y, b.x, b.y)) as o from fa join v a on a.line = fa.line and a.seq = fa.i join v b on b.line = fa.line and b.seq = fa.j join v m on m.line = fa.line and m.seq > fa.i and m.seq < fa.j group by 1, 2, 3) where o > {tol} * {tol})"""
+_OFF = "(power({0} - {2} - {6} * ({4} - {2}), 2) + power({1} - {3} - {6} * ({5} - {3}), 2))"
+_SHARE = "greatest(0.0, least(1.0, (({0} - {2}) * ({4} - {2}) + ({1} - {3}) * ({5} - {3})) / (power({4} - {2}, 2) + power({5} - {3}, 2))))"
+_ENDS = ("m.x", "m.y", "a.x", "a.y", "b.x", "b.y")
+_FARTHEST = _FARTHEST.replace("off(m.x, m.y, a.x, a.y, b.x, b.y)", _OFF.format(*_ENDS, _SHARE.format(*_ENDS)))
+
 SQL = {
     "j08_crossings": f"""with {_SEG}, post as (select i * 10 + 5 as x from range(0, 49) t(i)), h as (select line, seg, y0 + (y1 - y0) * (post.x - x0) / (x1 - x0) as y, post.x from s join post on post.x between least(x0, x1) and greatest(x0, x1) and floor(least(x0, x1) / 10) = (post.x - 5) / 10)
 select line, seg, round(x::double, 4) as x, round(y, 4) as y from h where y between 0 and 500""",
@@ -282,6 +303,9 @@ select event_id, rest_after, cast(sum(rest_after::int) over (partition by user_i
 s as (select route, case when prev is null then abs(mile - new) else abs(new - prev) + abs(mile - new) - abs(mile - prev) end as cost, i as slot from q union all select route, abs(new - mile), n from q where i = n - 1)
 select route, cast(slot as integer) as slot, cost from (select *, row_number() over (partition by route order by cost, slot desc) as rn from s) where rn = 1""",
     "snk01_features": f"with {_P} select poi_key, known_type, longitude, latitude from u",
+    "w35_clusters": f"with recursive {_GREEDY} select key as poi_key, head from gr",
+    "w35_folded": f"""with recursive {_GREEDY}, ws as (select * from {_WATER}) select head, string_agg(distinct source, ',' order by source) as sources, arg_min(name, case when name is not null then ((source = 'osm_water')::int, poi_key) end) as name, count(*) as n from gr join ws on poi_key = key group by 1""",
+    "g12_simplified": f"with recursive {_V}, {_FARTHEST.format(tol=6)} select line, seq from v where (line, seq) in (select (line, i) from fa union select (line, j) from fa)",
     "st02_stream": trail.SQL["st02_direction"],
     "st_windows": "select ts::date as day, event_type, count(*) as n from events group by 1, 2",
     "st08_once": "select reporter_type, count(distinct id) as n from field_notes group by 1",

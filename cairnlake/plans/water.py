@@ -10,7 +10,7 @@ from ..functions.plain import plain, plain_source, usable_position
 from ..operators import nearby
 from ..session import cut, own_folder, table
 from ..sources import geojson
-from . import warehouse
+from . import lines, warehouse
 from .conditions import closures, notes
 from .places import current_places
 
@@ -211,6 +211,13 @@ def x04_site_water(spark: SparkSession, d: str) -> DataFrame:
     return s.select("site", "water", F.round(feet, 1).alias("feet"), F.when(F.col("name").isNotNull(), F.round(grade, 4)).alias("grade"), reason.alias("reason"))
 
 
+def x05_document(spark: SparkSession, d: str) -> DataFrame:
+    """The whole water document: every site with how many waters are on record for it, and every cluster of water with its members and sources."""
+    sites = x04_site_water(spark, d).groupBy(F.col("site").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("reason") == "reachable", 1)).alias("reachable"))
+    water = lines.w35_folded(spark, d).select(F.col("head").alias("id"), F.lit("crossing").alias("kind"), "n", F.lit(None).cast("long").alias("reachable"), "sources")
+    return sites.select("id", F.lit("site").alias("kind"), "n", "reachable", F.lit(None).cast("string").alias("sources")).unionByName(water)
+
+
 def x08_reach(spark: SparkSession, d: str) -> DataFrame:
     """Three nearests of each open-map water folded to one record: shelter, campsite, other water, and the least of them in words."""
     p = cut(_places(spark, d).select("poi_key", "known_type", "source", "latitude", "longitude"))
@@ -357,7 +364,7 @@ def x16_legs(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), ",").alias("miles"))  # an order has seven lines
 
 
-QUERIES = {f.__name__: f for f in (src01_geojson, src03_layers, src04_water_nodes, src05_extracts, src06_layer, src07_csv, src08_registered_columns, src11_stamped, src12_stats, src13_digests, src15_html, src16_page_text, src17_profile, snk04_document, snk05_guarded, snk07_rings, a02_member_lists, a30_folded_facts, j05_nearest_site, j07_assembled, j09_candidates, j18_merged_sources, j21_water_distance, j22_photos, j28_survey_match, sca04_capacity, x01_capacity_index, x02_capacities, x03_distances, x04_site_water, x06_graded, x07_forgotten, x08_reach, x12_unified_water, x13_ledger_ids, x14_descriptions, x16_legs)}
+QUERIES = {f.__name__: f for f in (src01_geojson, src03_layers, src04_water_nodes, src05_extracts, src06_layer, src07_csv, src08_registered_columns, src11_stamped, src12_stats, src13_digests, src15_html, src16_page_text, src17_profile, snk04_document, snk05_guarded, snk07_rings, a02_member_lists, a30_folded_facts, j05_nearest_site, j07_assembled, j09_candidates, j18_merged_sources, j21_water_distance, j22_photos, j28_survey_match, sca04_capacity, x01_capacity_index, x02_capacities, x03_distances, x04_site_water, x05_document, x06_graded, x07_forgotten, x08_reach, x12_unified_water, x13_ledger_ids, x14_descriptions, x16_legs)}
 
 _N = "n as (select distinct * from field_notes)"
 _C = "c as (select distinct * from closures)"
@@ -428,3 +435,5 @@ select poi_key, case when row is not null then {_CAPV.format('raw')} end as valu
 select poi_key, kind || case when confidence = 'low' then ', unverified' else '' end || '.' as description from w""",
     "x16_legs": "with j as (select l_orderkey, l_linenumber, max(case when l_partkey % 13 <> 0 then p_size end) as mile from lineitem left join part on p_partkey = l_partkey group by 1, 2) select l_orderkey, string_agg(coalesce(mile::varchar, '?'), ',' order by l_linenumber) as miles from j group by 1",
 }
+SQL["x05_document"] = f"""with si as ({SQL['x04_site_water']}), wf as ({lines.SQL['w35_folded']}) select site as id, 'site' as kind, count(*) as n, count(*) filter (reason = 'reachable') as reachable, null::varchar as sources from si group by 1
+union all select head, 'crossing', n, null, sources from wf"""
