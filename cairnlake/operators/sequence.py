@@ -62,27 +62,44 @@ def overlap(start: Column, end: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(end, high) - F.greatest(start, low))
 
 
-def ascent(levels: Column, threshold: float) -> Column:
-    """Confirmed climb over an ordered array of levels: a rise counts once it is followed by a fall of ``threshold``.
+def _climbs(levels: Column, threshold: float) -> Column:
+    """Array of structs (trough, peak, gain) of places in the run: every confirmed climb, and the open one at the end.
 
-    One fold with three states. A climb still open at the end counts in full. Under two levels the answer is 0.
+    ``levels`` is an ordered array of structs (at, v). The walk has a way (up or down, 0 until the levels first differ by
+    the threshold), the tip it has reached in that way, and the base it set out from, which was the tip before. A level
+    beyond the tip moves it (one level with a trough moves it too); a level that lies back from it by the threshold
+    turns the walk: the tip becomes the base. A turn from up to down confirms the climb from base to tip.
     """
-    first = F.get(levels, F.lit(0)).cast("double")
-    start = F.struct(F.lit(0.0).alias("gain"), first.alias("low"), first.alias("high"), F.lit(0).alias("way"))
-
-    def step(s: Column, v: Column) -> Column:
-        higher, lower = v > s["high"], v < s["low"]
-        high, low = F.greatest(s["high"], v), F.least(s["low"], v)
-        settled = high - low >= threshold
-        turned_down = ~higher & (v <= s["high"] - threshold)
-        turned_up = ~lower & (v >= s["low"] + threshold)
-        up = F.when(turned_down, F.struct((s["gain"] + s["high"] - s["low"]).alias("gain"), v.alias("low"), s["high"].alias("high"), F.lit(-1).alias("way"))).otherwise(F.struct(s["gain"].alias("gain"), s["low"].alias("low"), high.alias("high"), F.lit(1).alias("way")))
-        down = F.when(turned_up, F.struct(s["gain"].alias("gain"), s["low"].alias("low"), v.alias("high"), F.lit(1).alias("way"))).otherwise(F.struct(s["gain"].alias("gain"), low.alias("low"), s["high"].alias("high"), F.lit(-1).alias("way")))
-        open_ = F.struct(s["gain"].alias("gain"), low.alias("low"), high.alias("high"), F.when(settled, F.when(v >= high, F.lit(1)).otherwise(F.lit(-1))).otherwise(F.lit(0)).alias("way"))
-        return F.when(s["way"] == 1, up).when(s["way"] == -1, down).otherwise(open_)
-
-    rest = F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0)))
-    total = F.aggregate(F.transform(rest, lambda v: v.cast("double")), start, step, lambda s: s["gain"] + F.when(s["way"] == 1, s["high"] - s["low"]).otherwise(0.0))
+    done = lambda base, tip: F.struct(base["at"].alias("trough"), tip["at"].alias("peak"), (tip["v"] - base["v"]).alias("gain"))
+    walk = lambda base, tip, way, climbed: F.struct(base.alias("base"), tip.alias("tip"), way.alias("way"), climbed.alias("done"))
+    first = F.get(levels, F.lit(0))
+    start = walk(first, first, F.lit(0), F.filter(F.array(done(first, first)), lambda _: F.lit(False)))
+
+    def open_(s: Column, p: Column) -> Column:
+        low, high = F.when(p["v"] <= s["base"]["v"], p).otherwise(s["base"]), F.when(p["v"] > s["tip"]["v"], p).otherwise(s["tip"])
+        apart, rising = high["v"] - low["v"] >= threshold, p["v"] >= high["v"]
+        return F.when(apart & ~rising, walk(high, low, F.lit(-1), s["done"])).otherwise(walk(low, high, F.when(apart, 1).otherwise(0), s["done"]))
+
+    def step(s: Column, p: Column) -> Column:
+        on = F.when(s["way"] == 1, p["v"] > s["tip"]["v"]).otherwise(p["v"] <= s["tip"]["v"])
+        back = (s["tip"]["v"] - p["v"]) * s["way"] >= threshold
+        climbed = F.when(s["way"] == 1, F.concat(s["done"], F.array(done(s["base"], s["tip"])))).otherwise(s["done"])
+        under_way = F.when(on, walk(s["base"], p, s["way"], s["done"])).when(back, walk(s["tip"], p, -s["way"], climbed)).otherwise(s)
+        return F.when(s["way"] == 0, open_(s, p)).otherwise(under_way)
+
+    finish = lambda s: F.when(s["way"] == 1, F.concat(s["done"], F.array(done(s["base"], s["tip"])))).otherwise(s["done"])
+    return F.aggregate(F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0))), start, step, finish)
+
+
+def climbs(levels: Column, threshold: float) -> Column:
+    """Array of structs (trough, peak): the places of every confirmed climb, and of the open one at the end, in order."""
+    return F.transform(_climbs(levels, threshold), lambda c: F.struct(c["trough"].alias("trough"), c["peak"].alias("peak")))
+
+
+def ascent(levels: Column, threshold: float) -> Column:
+    """Confirmed climb over an ordered array of levels: what all climbs gain. Under two levels the answer is 0."""
+    points = F.transform(levels, lambda v, i: F.struct(i.alias("at"), v.cast("double").alias("v")))
+    total = F.aggregate(_climbs(points, threshold), F.lit(0.0), lambda a, c: a + c["gain"])
     return F.when(F.size(levels) < 2, F.lit(0.0)).otherwise(total)
 
 
@@ -116,35 +133,6 @@ def ascent_over_profile(df: DataFrame, by: Sequence[str], order: Sequence[str],
     return runs.groupBy(*by).agg(F.sum(ascent(F.col("levels"), threshold)).alias("ascent"))
 
 
-def climbs(levels: Column, threshold: float) -> Column:
-    """Array of structs (trough, peak) of places in the run: every confirmed climb, and the open one at the end.
-
-    ``levels`` is an ordered array of structs (at, v). A level trough moves forward to its last place.
-    """
-    first = F.get(levels, F.lit(0))
-    none = F.slice(F.transform(levels, lambda p: F.struct(p["at"].alias("trough"), p["at"].alias("peak"))), 1, 0)
-    start = F.struct(first.alias("low"), first.alias("high"), F.lit(0).alias("way"), none.alias("done"))
-
-    def step(s: Column, p: Column) -> Column:
-        v = p["v"]
-        keep = lambda low, high, way, done: F.struct(low.alias("low"), high.alias("high"), way.alias("way"), done.alias("done"))
-        up = (
-            F.when(v > s["high"]["v"], keep(s["low"], p, F.lit(1), s["done"]))
-            .when(v <= s["high"]["v"] - threshold, keep(p, s["high"], F.lit(-1), F.concat(s["done"], F.array(F.struct(s["low"]["at"].alias("trough"), s["high"]["at"].alias("peak"))))))
-            .otherwise(keep(s["low"], s["high"], F.lit(1), s["done"]))
-        )
-        down = F.when(v <= s["low"]["v"], keep(p, s["high"], F.lit(-1), s["done"])).when(v >= s["low"]["v"] + threshold, keep(s["low"], p, F.lit(1), s["done"])).otherwise(keep(s["low"], s["high"], F.lit(-1), s["done"]))
-        high = F.when(v > s["high"]["v"], p).otherwise(s["high"])
-        low = F.when(v <= s["low"]["v"], p).otherwise(s["low"])
-        way = F.when(high["v"] - low["v"] >= threshold, F.when(v >= high["v"], F.lit(1)).otherwise(F.lit(-1))).otherwise(F.lit(0))
-        return F.when(s["way"] == 1, up).when(s["way"] == -1, down).otherwise(keep(low, high, way, s["done"]))
-
-    def finish(s: Column) -> Column:
-        return F.when(s["way"] == 1, F.concat(s["done"], F.array(F.struct(s["low"]["at"].alias("trough"), s["high"]["at"].alias("peak"))))).otherwise(s["done"])
-
-    return F.aggregate(F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0))), start, step, finish)
-
-
 def rising_only(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Rows whose value is above everything before them: a strictly increasing axis; the others are dropped."""
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
