@@ -51,6 +51,35 @@ def cells_around(lat: Column, lon: Column, reach_m: float) -> Column:
     return F.array_distinct(F.array(*[c for step in (-1, 0, 1) for c in row_cells(step)]))
 
 
+def _blocks_reached(cell: Column, reach_m: float) -> Column:
+    """All cells into which some point of a cell is written by ``cells_around``: three rows, from beside its west edge to beside its east edge."""
+    height = math.degrees(reach_m / geo.EARTH_M)
+    row, col = F.shiftright(cell, 32), cell.bitwiseAND(F.lit(0xFFFFFFFF))
+    own = _columns(row, height, reach_m)
+    west, east = col * 360.0 / own, (col + 1) * 360.0 / own
+
+    def row_blocks(step: int) -> Column:
+        columns = _columns(row + step, height, reach_m)
+        first, last = F.floor(west * columns / 360.0) - 1, F.floor(east * columns / 360.0) + 1
+        return F.transform(F.sequence(first, F.least(last, first + columns)), lambda c: _cell(row + step, F.pmod(c, columns)))
+
+    return F.array_distinct(F.concat(*[row_blocks(step) for step in (-1, 0, 1)]))
+
+
+def _crowded_cells(left: DataFrame, right: DataFrame, by: list[str], reach_m: float, hot: int) -> DataFrame:
+    """(by, _cell, _na, _nb): cells with more than ``hot`` left points, or with right points of a dense cell around, and their shares.
+
+    Both frames have one row a point, with the cell it lies in. Right points are counted before they are written into
+    nine cells: a cell that gets more than ``hot`` of them has a cell with over a sixteenth of that beside it, so only
+    those are looked at, and what the others add is less than one share more.
+    """
+    block = [*by, "_cell"]
+    many = left.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(*block, F.ceil(F.col("_n") / hot).cast("int").alias("_na"), F.lit(1).alias("_nb"))
+    dense = right.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot / 16)
+    near = dense.select(*by, "_n", F.explode(_blocks_reached(F.col("_cell"), reach_m)).alias("_cell")).groupBy(*block).agg((F.ceil(F.sum("_n") / hot) + 1).cast("int").alias("_nb"))
+    return many.unionByName(near.select(*block, F.lit(1).alias("_na"), "_nb")).groupBy(*block).agg(F.max("_na").alias("_na"), F.max("_nb").alias("_nb"))
+
+
 def crowded_blocks(counted: DataFrame, block: list[str], a: str, b: str, hot: int) -> DataFrame:
     """(block, _na, _nb) of the blocks with more than ``hot`` rows of either side: how many shares each side is spread over."""
     shares = lambda c: F.greatest(F.ceil(F.col(c) / hot), F.lit(1)).cast("int")
@@ -93,7 +122,8 @@ def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     packed = [F.struct(*[F.col(c) for c in carry])] if carry else []
     a = left.where(ok).select(F.col(left_id).alias("id_l"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), *by, *[c.alias("c_l") for c in packed], cells_of(F.col(lat), F.col(lon), reach).alias("_cell"))
     b = right.where(ok).select(F.col(right_id).alias("id_r"), F.col(lat).alias("_ra"), F.col(lon).alias("_ro"), *by, *[c.alias("c_r") for c in packed], F.explode(cells_around(F.col(lat), F.col(lon), reach)).alias("_cell"))
-    met = join_blocks(a, b, [*by, "_cell"], "id_l", "id_r", hot)
+    lying = right.where(ok).select(*by, cells_of(F.col(lat), F.col(lon), reach).alias("_cell"))
+    met = join_blocks(a, b, [*by, "_cell"], "id_l", "id_r", hot, _crowded_cells(a, lying, list(by), reach, hot))
     far = geo.haversine_m(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))
     return met.select("id_l", "id_r", far.alias("metres"), *by, *(["c_l", "c_r"] if carry else [])).where(F.col("metres") <= radius_m)
 
