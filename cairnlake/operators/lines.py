@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,35 +40,39 @@ def cells_walked(segs: DataFrame, side: float, margin: float) -> DataFrame:
 
 
 def _nearest(placed: DataFrame, segs: DataFrame, point: str, line: str, reach: float) -> DataFrame:
-    """(point, distance, line, seg, along, ends, _px, _py): the nearest segment within ``reach`` of each point with _px and _py.
+    """(point, distance, line, seg, along, foot_x, foot_y): the nearest segment within ``reach`` of each point with _px and _py.
 
     Segments are written into the cells (of side ``reach``) they pass, widened by the reach; a point looks into its own
-    cell. Only the best segment of each map task is shuffled.
+    cell. Only the best segment of each map task is shuffled. Cells hold many times the rows of the segments they come
+    from, by whose size the planner would broadcast them.
     """
     cell = lambda c: F.floor(F.col(c) / reach)
-    walked = cells_walked(segs, reach, reach)
-    d = geo.segment_nearest(F.col("_px"), F.col("_py"), *[F.col(c) for c in ("ax", "ay", "bx", "by")])[0]
-    rest = (line, "seg", "along", "ax", "ay", "bx", "by", "_px", "_py")
-    met = placed.withColumns({"_cx": cell("_px"), "_cy": cell("_py")}).join(walked, ["_cx", "_cy"]).select(point, *rest, d.alias("distance")).where(F.col("distance") <= reach)
-    return met.groupBy(point).agg(F.min(F.struct("distance", *rest)).alias("_c")).select(point, "_c.*")
+    walked = cells_walked(segs, reach, reach).hint("merge")
+    d, fx, fy = geo.segment_nearest(F.col("_px"), F.col("_py"), *[F.col(c) for c in ("ax", "ay", "bx", "by")])
+    met = placed.withColumns({"_cx": cell("_px"), "_cy": cell("_py")}).join(walked, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= reach)
+    on = F.sqrt((fx - F.col("ax")) * (fx - F.col("ax")) + (fy - F.col("ay")) * (fy - F.col("ay")))
+    best = F.struct("distance", line, "seg", (F.col("along") + on).alias("along"), fx.alias("foot_x"), fy.alias("foot_y"))
+    return met.groupBy(point).agg(F.min(best).alias("_c")).select(point, "_c.*")
 
 
 def nearest_segment(points: DataFrame, segs: DataFrame, point: str, x: str, y: str, line: str, reach: float, first: float | None = 0.125) -> DataFrame:
     """(point, line, distance, foot_x, foot_y, along): the nearest segment within ``reach``; points without one are absent.
 
-    Points are looked at within a share ``first`` of the reach before: what is found there is the nearest, and in a dense
-    net of lines it spares most of the pairs; only the others look over the whole reach. None leaves that out (for
-    segments far longer than the reach). Ties go to the smaller line, then the earlier segment.
+    Points are looked at within a share ``first`` of the reach before, then within the root of that share: what is found
+    there is the nearest, and in a dense net of lines it spares most of the pairs; only the others look over the whole
+    reach. Of segments with the same ends only the one that ties go to is kept. None leaves both out (for segments far
+    longer than the reach). Ties go to the smaller line, then the earlier segment.
     """
-    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(point, F.col(x).alias("_px"), F.col(y).alias("_py"))
-    if first is None:
-        best = _nearest(placed, segs, point, line, reach)
-    else:
-        close = cut(_nearest(placed, segs, point, line, reach * first))
-        best = close.unionByName(_nearest(placed.join(close.select(point), point, "left_anti"), segs, point, line, reach))
-    _, fx, fy = geo.segment_nearest(F.col("_px"), F.col("_py"), *[F.col(c) for c in ("ax", "ay", "bx", "by")])
-    on = F.sqrt((F.col("foot_x") - F.col("ax")) * (F.col("foot_x") - F.col("ax")) + (F.col("foot_y") - F.col("ay")) * (F.col("foot_y") - F.col("ay")))
-    return best.withColumns({"foot_x": fx, "foot_y": fy}).select(point, line, "distance", "foot_x", "foot_y", (F.col("along") + on).alias("along"))
+    left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(point, F.col(x).alias("_px"), F.col(y).alias("_py"))
+    found = []
+    if first is not None:
+        ends = ("ax", "ay", "bx", "by")
+        segs = cut(segs.groupBy(*ends).agg(F.min(F.struct(line, "seg", "along")).alias("_s")).select("_s.*", *ends))
+        for share in (first, first**0.5):
+            found.append(cut(_nearest(left, segs, point, line, reach * share)))
+            left = left.join(found[-1].select(point), point, "left_anti")
+    best = functools.reduce(DataFrame.unionByName, [*found, _nearest(left, segs, point, line, reach)])
+    return best.select(point, line, "distance", "foot_x", "foot_y", "along")
 
 
 def calibrated(markers: DataFrame, line: str, along: str, mile: str) -> DataFrame:
