@@ -165,9 +165,18 @@ def k08_lanes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j11_uncontradicted(spark: SparkSession, d: str) -> DataFrame:
-    """A correlated NOT EXISTS whose inner block groups and has a HAVING, as SQL."""
-    notes(spark, d).createOrReplaceTempView("cairnlake_notes")
-    return spark.sql(SQL["j11_uncontradicted"].replace("with n as (select distinct * from field_notes) ", "with n as (select * from cairnlake_notes) "))
+    """Places reported missing or dry where no two accounts saw water flow afterwards, with the accounts that said so.
+
+    Two accounts saw it after a report if the second last of the accounts' last times is later, so a place needs one
+    number instead of its pairs of notes. Resent rows change nothing.
+    """
+    bad, at = F.col("observation").isin("not_found", "dry"), F.col("observed_at")
+    rows = table(spark, d, "field_notes").where(F.col("poi_id").isNotNull() & (bad | (F.col("observation") == "flowing")))
+    said = rows.groupBy("poi_id", "reporter_id").agg(F.max(F.when(~bad, at)).alias("flowing"), F.max(F.when(bad, at)).alias("missing"), F.max(bad).alias("_bad"), F.max(bad & at.isNull()).alias("_undated"))
+    last = Window.partitionBy("poi_id").orderBy(F.col("flowing").desc())
+    second = said.where("reporter_id is not null and flowing is not null").withColumn("_n", F.row_number().over(last)).where("_n = 2").select("poi_id", F.col("flowing").alias("_second"))
+    kept = said.where("_bad").join(second, "poi_id", "left").where("_second is null or _undated or missing >= _second")
+    return kept.groupBy("poi_id").agg(F.count("reporter_id").alias("accounts"))
 
 
 def st06_since(spark: SparkSession, d: str) -> DataFrame:
